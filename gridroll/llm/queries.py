@@ -16,6 +16,14 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("copies", "source")
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from gridroll.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridroll.llm.sharding import shard_documents
 
@@ -52,7 +60,7 @@ FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source JOIN best ON d.source IS
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op6_sharding": op6_sharding}
+    return {"op1_mixing": op1_mixing, "op5_packing": op5_packing, "op6_sharding": op6_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
