@@ -16,6 +16,12 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("copies", "source")
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridroll.llm.html import extract
+
+    return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -30,6 +36,19 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), 8, "bytes").withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridroll.llm.vectordup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"), 0.95)
+
+
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridroll.llm.ann import search
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return search(vectors.where("vec_id % 20 = 0"), vectors, 20)
+
+
 OP1_SQL = """
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
@@ -60,7 +79,14 @@ FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source JOIN best ON d.source IS
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op5_packing": op5_packing, "op6_sharding": op6_sharding}
+    return {
+        "op1_mixing": op1_mixing,
+        "op3_html": op3_html,
+        "op5_packing": op5_packing,
+        "op6_sharding": op6_sharding,
+        "op7_embedding_dedup": op7_embedding_dedup,
+        "op10_ann": op10_ann,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
