@@ -30,34 +30,35 @@ def join_small(df: DataFrame, small: DataFrame, on: Column | list[str], how: str
     return df.join(F.broadcast(small) if small.limit(limit + 1).count() <= limit else small, on, how)
 
 
+def _settled(e: DataFrame) -> bool:
+    """True if every node has one parent at most and no parent has one."""
+    ends = e.select(F.col("u").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(e.select(F.col("v").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return not ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up > 0 and down > 0)").limit(1).count()
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected graph.
 
-    ``edges`` has two long columns, ``a`` and ``b``. Returns (id, component)
-    for every id in an edge; component is the smallest id reachable. Rounds
-    alternate large-star and small-star, so their number grows with the
-    logarithm of a component's size, and every round is written to the shared
-    folder. A large-star group is only aggregated (min) and joined, so that a
-    node with very many links does not gather in one task.
+    ``edges`` has two long columns, ``a`` and ``b``; self-loops and nulls are
+    ignored. Returns (id, component) for every id in an edge; component is the
+    smallest id reachable. Rounds alternate large-star and small-star, so their
+    number grows with the logarithm of a component's size, and every round is
+    written to the shared folder. The links of a node are only aggregated
+    (min) and joined, never gathered in one row.
     """
     e = materialize(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
     for _ in range(max_rounds):
-        # large star: every larger neighbour of a node is linked to the node's smallest neighbour (or itself)
+        if _settled(e):
+            break
+        # large star: a node's larger neighbours, and itself, are linked to the smallest of its neighbours and itself
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = e.select(F.col("v").alias("u"), F.col("u").alias("w")).join(least, "u").select(F.col("w").alias("u"), F.col("m").alias("v"))
-        own = e.groupBy("u").agg(F.min("v").alias("v"))
-        e1 = large.unionByName(own).where("u <> v").distinct()
+        e = materialize(large.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
         # small star: all smaller neighbours of a node, and itself, are linked to the smallest of them
-        small = e1.groupBy("u").agg(F.min("v").alias("m"))
-        e2 = e1.join(small, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(small.select("u", F.col("m").alias("v")))
+        small = e.groupBy("u").agg(F.min("v").alias("m"))
+        e2 = e.join(small, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(small.select("u", F.col("m").alias("v")))
         e = materialize(e2.distinct())
-        # every node has one parent and no parent has one: done
-        state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
     else:
         raise RuntimeError("connected components did not settle")
-    return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct()
+    return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

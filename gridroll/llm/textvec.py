@@ -118,7 +118,7 @@ def shingles(w: np.ndarray, off: np.ndarray, k: int = 5) -> tuple[np.ndarray, np
         h[rel + np.repeat(out[full], m)] = rolled[rel + np.repeat(off[full], m)]
     for i in np.flatnonzero((count > 0) & (count < k)):
         part = w[off[i] : off[i + 1]]
-        h[out[i]] = mix64(np.array([(part * c[: len(part)]).sum(dtype=U64) + U64(len(part)) * U64(0xD1342543DE82EF95)], U64))[0]
+        h[out[i]] = mix64((part * c[: len(part)]).sum(dtype=U64, keepdims=True) + np.array([len(part)], U64) * U64(0xD1342543DE82EF95))[0]
     return h, out
 
 
