@@ -42,6 +42,12 @@ def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"), 0.95)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridroll.llm.toxicity import score
+
+    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridroll.llm.ngram_join import jaccard_join
 
@@ -91,6 +97,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_packing": op5_packing,
         "op6_sharding": op6_sharding,
         "op7_embedding_dedup": op7_embedding_dedup,
+        "op8_toxicity": op8_toxicity,
         "op9_ngram_join": op9_ngram_join,
         "op10_ann": op10_ann,
     }
