@@ -5,14 +5,17 @@ one global order, rare before frequent, and that order is cut into fragments.
 Two sets with Jaccard similarity t or more share an n-gram among the first
 |x| - ceil(t |x|) + 1 of each, so only those prefixes are sent, each n-gram to
 its fragment. A fragment counts the overlaps of the documents that meet in it,
-and the partial counts are summed per pair over the fragments.
+and the partial counts are summed per pair over the fragments. Only pairs whose
+sum, with all n-grams beyond the prefixes, could reach the overlap that t asks
+for are compared by their whole sets.
 
 Documents with equal sets are one class throughout, so exact copies cost
 nothing. Large groups of near copies are not expanded into pairs either: first
 each group of documents that share n-grams is compared with leaders only;
 what has linked up is one component, and only pairs of documents of different
-components that still share prefix n-grams are counted and compared then. No
-pair that could join two components is left out, so components are exact.
+components that share prefix n-grams are counted then, now completely, and
+compared. No pair that could join two components is left out, so components
+are exact.
 """
 
 from __future__ import annotations
@@ -134,8 +137,12 @@ def _prefixes(batches: Iterator[pa.RecordBatch], k: int, t: Fraction, fragments:
         yield packed()
 
 
+#: Kinds of rows that a fragment returns: leader and led, two that meet alone, member of a larger group.
+LED, ALONE, MEMBER = 0, 1, 2
+
+
 def _fragment(batches: Iterator[pa.RecordBatch], t: Fraction) -> Iterator[pa.RecordBatch]:
-    """Rows (0, class, class, shared n-grams, 0) of leaders and those compared with them, and (1, group, class, its n-grams, set size) of groups of three and more."""
+    """What meets in this partition's fragments: (LED or ALONE, class, class, shared n-grams, set size, set size) and (MEMBER, group, class, the group's n-grams, set size, 0) of groups of three and more."""
     parts: list[tuple[np.ndarray, ...]] = []
     for b in batches:
         for r in b.to_pylist():
@@ -170,39 +177,39 @@ def _fragment(batches: Iterator[pa.RecordBatch], t: Fraction) -> Iterator[pa.Rec
         return
     mark, first, times = np.unique(mark, return_index=True, return_counts=True)
     cut, size = cut[first], size[first]
-    pa_, pb, ps = [], [], []
+
+    def rows(kind: int, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for x in range(0, len(columns[0]), 100_000):
+            some = [col[x : x + 100_000].astype(np.int64) for col in columns]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some[0]), kind, np.int32)), *map(pa.array, some)], names=["kind", "a", "b", "m", "n", "n2"])
+
     two = size == 2
     i = cut[two]
-    near = 1.0 * np.minimum(n[i], n[i + 1]) >= float(t) * np.maximum(n[i], n[i + 1]) - 1e-9
-    pa_.append(np.minimum(c[i], c[i + 1])[near])
-    pb.append(np.maximum(c[i], c[i + 1])[near])
-    ps.append(times[two][near])
-    rows = []
+    near = np.minimum(n[i], n[i + 1]) * t.denominator >= np.maximum(n[i], n[i + 1]) * t.numerator
+    i = i[near]
+    yield from rows(ALONE, c[i], c[i + 1], times[two][near], n[i], n[i + 1])
+    led, members = [], []
     for at, m, gid, k in zip(cut[~two].tolist(), size[~two].tolist(), mark[~two].view(np.int64).tolist(), times[~two].tolist(), strict=True):
         cc, nn = c[at : at + m], n[at : at + m]
         o = np.lexsort((cc, nn))
         cc, nn = cc[o], nn[o]
         lead = 0
         while lead < m:  # the smallest set leads all that are not too large to be similar to it
-            to = int(np.searchsorted(nn, nn[lead] * t.denominator // t.numerator, side="right"))
-            to = max(to, lead + 1)
-            pa_.append(np.minimum(cc[lead], cc[lead + 1 : to]))
-            pb.append(np.maximum(cc[lead], cc[lead + 1 : to]))
-            ps.append(np.full(to - lead - 1, k))
+            to = max(int(np.searchsorted(nn, nn[lead] * t.denominator // t.numerator, side="right")), lead + 1)
+            a, b_ = np.full(to - lead - 1, cc[lead]), cc[lead + 1 : to]
+            na, nb = np.full(to - lead - 1, nn[lead]), nn[lead + 1 : to]
+            low = a < b_
+            led.append((np.where(low, a, b_), np.where(low, b_, a), np.full(len(a), k), np.where(low, na, nb), np.where(low, nb, na)))
             lead = to
-        rows.append((np.full(m, gid), cc, np.full(m, k), nn))
-    a, b_, s = (np.concatenate(x).astype(np.int64) for x in (pa_, pb, ps))
-    o = np.lexsort((b_, a))
-    a, b_, s = a[o], b_[o], s[o]
-    names = ["kind", "a", "b", "m", "n"]
-    if len(a):
-        first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b_[1:] != b_[:-1])]))
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(first), np.int32)), pa.array(a[first]), pa.array(b_[first]), pa.array(np.add.reduceat(s, first)), pa.array(np.zeros(len(first), np.int64))], names=names)
-    if rows:
-        gid, cc, k, nn = (np.concatenate(x).astype(np.int64) for x in zip(*rows, strict=True))
-        for x in range(0, len(gid), 100_000):
-            y = slice(x, x + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(gid[y]), np.int32)), pa.array(gid[y]), pa.array(cc[y]), pa.array(k[y]), pa.array(nn[y])], names=names)
+        members.append((np.full(m, gid), cc, np.full(m, k), nn, np.zeros(m, np.int64)))
+    if led:
+        a, b_, m, na, nb = (np.concatenate(x) for x in zip(*led, strict=True))
+        o = np.lexsort((b_, a))
+        a, b_, m, na, nb = a[o], b_[o], m[o], na[o], nb[o]
+        if len(a):
+            first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b_[1:] != b_[:-1])]))
+            yield from rows(LED, a[first], b_[first], np.add.reduceat(m, first), na[first], nb[first])
+        yield from rows(MEMBER, *(np.concatenate(x) for x in zip(*members, strict=True)))
 
 
 def _wanted(ids: DataFrame) -> tuple[int, np.ndarray]:
@@ -265,7 +272,7 @@ def jaccard_join(docs: DataFrame, threshold: Fraction = Fraction(3, 4), k: int =
     total = ids.agg(F.sum("n_shingles")).first()[0] or 0
     fragments = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total * (1 - threshold)) // FRAGMENT)
     packed = slim.mapInArrow(lambda it: _prefixes(it, k, threshold, fragments, *order.value), "frag int, grams binary, idx binary, classes binary, sizes binary")
-    met = materialize(packed.repartition(fragments, "frag").mapInArrow(lambda it: _fragment(it, threshold), "kind int, a long, b long, m long, n long"))
+    met = materialize(packed.repartition(fragments, "frag").mapInArrow(lambda it: _fragment(it, threshold), "kind int, a long, b long, m long, n long, n2 long"))
 
     def compared(pairs: DataFrame) -> DataFrame:
         """Of the pairs (a, b) those that are similar enough, by their whole sets."""
@@ -275,25 +282,31 @@ def jaccard_join(docs: DataFrame, threshold: Fraction = Fraction(3, 4), k: int =
         x, y = sets.select(F.col("c").alias("a"), F.col("grams").alias("x")), sets.select(F.col("c").alias("b"), F.col("grams").alias("y"))
         return materialize(pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(lambda it: _similar(it, threshold), "a long, b long"))
 
-    first = materialize(met.where("kind = 0").groupBy("a", "b").agg(F.sum("m").alias("m")))
+    p, q = threshold.numerator, threshold.denominator
+    rest = lambda n: F.ceil(F.col(n) * p / q) - 1  # noqa: E731  n-grams beyond the prefix
+
+    def possible(counts: DataFrame) -> DataFrame:
+        """Pairs (a, b) whose counted overlap ``m`` and all n-grams beyond the prefix reach the overlap needed, p / (p + q) of both sizes."""
+        summed = counts.groupBy("a", "b").agg(F.sum("m").alias("m"), F.first("n").alias("n"), F.first("n2").alias("n2"))
+        return summed.where((F.col("m") + F.greatest(rest("n"), rest("n2"))) * (p + q) >= (F.col("n") + F.col("n2")) * p).select("a", "b")
+
+    # what leaders share with those they lead is counted in part only, so a pair that is left out here comes up again below
+    first = materialize(possible(met.where(F.col("kind") != MEMBER).select("a", "b", "m", "n", "n2")))
     links = compared(first)
-    comp = components(links)
-    groups = met.where("kind = 1").select(F.col("a").alias("gid"), F.col("b").alias("c"), "m", "n").join(comp, F.col("c") == comp["id"], "left").select("gid", "c", "m", "n", F.coalesce("component", "c").alias("comp"))
-    groups = materialize(groups)
+    comp = materialize(components(links))
+    of = comp.select(F.col("id").alias("c"), "component")
+    groups = materialize(met.where(F.col("kind") == MEMBER).select(F.col("a").alias("gid"), F.col("b").alias("c"), "m", "n").join(of, "c", "left").withColumn("comp", F.coalesce("component", "c")))
     mixed = groups.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("gid")
     open_ = materialize(groups.join(mixed, "gid", "left_semi"))
-    if open_.limit(1).count():
-        l, r = open_.alias("l"), open_.select("gid", "c", "n", "comp").alias("r")
-        p, q = threshold.numerator, threshold.denominator
-        across = l.join(r, (F.col("l.gid") == F.col("r.gid")) & (F.col("l.c") < F.col("r.c")) & (F.col("l.comp") != F.col("r.comp")) & (F.least("l.n", "r.n") * q >= F.greatest("l.n", "r.n") * p))
-        # a fragment has each group once, so the counts over fragments sum to the overlap of the prefixes
-        summed = across.groupBy(F.col("l.c").alias("a"), F.col("r.c").alias("b")).agg(F.sum("l.m").alias("m"), F.first("l.n").alias("na"), F.first("r.n").alias("nb"))
-        rest = lambda n: F.ceil(F.col(n) * p / q) - 1  # noqa: E731  n-grams beyond the prefix
-        possible = summed.where((F.col("m") + F.greatest(rest("na"), rest("nb"))) * (p + q) >= (F.col("na") + F.col("nb")) * p)
-        second = materialize(possible.select("a", "b").join(first, ["a", "b"], "left_anti"))
-        if second.limit(1).count():
-            links = links.unionByName(compared(second))
-            comp = components(links)
+    l, r = open_.alias("l"), open_.alias("r")
+    across = l.join(r, (F.col("l.gid") == F.col("r.gid")) & (F.col("l.c") < F.col("r.c")) & (F.col("l.comp") != F.col("r.comp")) & (F.least("l.n", "r.n") * q >= F.greatest("l.n", "r.n") * p))
+    # a fragment has each group once, so the counts over fragments sum to the overlap of the prefixes
+    pairs = across.select(F.col("l.c").alias("a"), F.col("r.c").alias("b"), "l.m", "l.n", F.col("r.n").alias("n2"))
+    alone = met.where(F.col("kind") == ALONE).select("a", "b", "m", "n", "n2").join(of.toDF("a", "ca"), "a", "left").join(of.toDF("b", "cb"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
+    second = materialize(possible(pairs.unionByName(alone.select("a", "b", "m", "n", "n2"))).join(first, ["a", "b"], "left_anti"))
+    if second.limit(1).count():
+        links = links.unionByName(compared(second))
+        comp = materialize(components(links))
     rooted = materialize(ids.join(comp, ids["c"] == comp["id"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "c")).alias("root")))
     least = rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return rooted.join(least, "root", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
