@@ -16,6 +16,13 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("copies", "source")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridroll.llm.quality import classify
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return classify(docs, table(spark, sf_dir, "labels")).drop("text")
+
+
 def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridroll.llm.html import extract
 
@@ -99,6 +106,7 @@ FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source JOIN best ON d.source IS
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
+        "op2_quality": op2_quality,
         "op3_html": op3_html,
         "op4_line_dedup": op4_line_dedup,
         "op5_packing": op5_packing,
