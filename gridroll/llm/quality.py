@@ -24,8 +24,8 @@ from gridroll.llm.common import join_small
 from gridroll.llm.textvec import U64, flat, slices
 from gridroll.session import materialize
 
-#: Order of the model, n-grams that may be broadcast (12 bytes each), distinct n-grams a partition holds before it passes them on, labels that may be broadcast, bins a unit of log perplexity for quantiles, bytes of text a block of the sharded way has.
-ORDER, BROADCAST_GRAMS, HELD, LABELS_BROADCAST, BINS, BLOCK_BYTES = 5, 5_000_000, 4_000_000, 1_000_000, 1000, 16 << 20
+#: Order of the model, n-grams that may be broadcast (12 bytes each), distinct n-grams a partition holds before it passes them on, labels that may be broadcast, bins a unit of log perplexity for quantiles, bytes of text a block of the sharded way has, bytes of the language's usual text that are added to each text before it is compared.
+ORDER, BROADCAST_GRAMS, HELD, LABELS_BROADCAST, BINS, BLOCK_BYTES, PRIOR = 5, 5_000_000, 4_000_000, 1_000_000, 1000, 16 << 20, 64
 
 
 def grams(texts: pa.Array, n: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
@@ -147,14 +147,14 @@ def _scored(b: pa.RecordBatch, tables: Tables, n: int) -> np.ndarray:
     return out
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, slack: float = 1.2, order: int = ORDER, broadcast_grams: int = BROADCAST_GRAMS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality") -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.985, slack: float = 1.02, order: int = ORDER, broadcast_grams: int = BROADCAST_GRAMS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality") -> DataFrame:
     """Perplexity of every row of ``docs`` and whether it is kept.
 
     Trusted are the texts whose id has ``label_col`` 1 in ``labels`` (and no
     other value). Returns ``docs`` with perplexity (a byte), threshold and
-    kept: perplexity <= the language's threshold, which is ``slack`` times the
-    ``quantile`` of the perplexities of its trusted texts, so that clean texts
-    that are merely short or rare stay. Null languages are a
+    kept: the perplexity, taken together with PRIOR bytes of the language's usual
+    text so that chance does not reject short texts, is at most the language's threshold, which is ``slack`` times the
+    ``quantile`` of that figure over its trusted texts. Null languages are a
     language of their own. Null and empty texts have no perplexity and are not
     kept; texts in a language without trusted text have none and are kept,
     since nothing speaks against them. Equal rows get equal results. An empty
@@ -208,14 +208,15 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, slack:
             return pa.Table.from_batches(out)
 
         scored = blocks.groupBy("_block").cogroup(answers.groupBy("block")).applyInArrow(meet, schema)
-    scored = scored.withColumn("perplexity", F.exp(-F.col("_mean"))).withColumn("_l", lang)
-    scored = scored.drop("_mean")
+    scored = scored.withColumn("perplexity", F.exp(-F.col("_mean"))).withColumn("_l", lang).withColumn("_n", F.coalesce(F.octet_length(text_col), F.lit(0)))
+    known = materialize(scored.where("trusted and _mean is not null").select("_l", "_mean", "_n"))
+    usual = F.broadcast(materialize(known.groupBy("_l").agg((F.sum(F.col("_mean") * F.col("_n")) / F.sum("_n")).alias("_usual"))))  # a row a language
+    level = (-(F.col("_mean") * F.col("_n") + F.col("_usual") * PRIOR) / (F.col("_n") + PRIOR)).alias("_level")
     # quantiles by counting bins, exact to a bin and the same in every run
-    kept_scores = materialize(scored.where("trusted and perplexity is not null").select("_l", F.floor(F.log("perplexity") * BINS).alias("bin")).groupBy("_l", "bin").count())
+    kept_scores = materialize(known.join(usual, "_l").select("_l", F.floor(level * BINS).alias("bin")).groupBy("_l", "bin").count())
     running = Window.partitionBy("_l").orderBy("bin")
     cum = kept_scores.withColumn("upto", F.sum("count").over(running)).withColumn("all", F.sum("count").over(Window.partitionBy("_l")))
     cuts = cum.where(F.col("upto") >= F.col("all") * quantile).groupBy("_l").agg((F.exp((F.min("bin") + 1) / BINS) * slack).alias("threshold"))
-    out = scored.join(F.broadcast(materialize(cuts)), "_l", "left")  # a row a language
-    empty = F.coalesce(F.octet_length(text_col), F.lit(0)) == 0
-    kept = F.when(empty, False).when(F.col("threshold").isNull(), True).otherwise(F.col("perplexity") <= F.col("threshold"))
+    out = scored.join(usual, "_l", "left").join(F.broadcast(materialize(cuts)), "_l", "left")
+    kept = F.when(F.col("_n") == 0, False).when(F.col("threshold").isNull(), True).otherwise(F.exp(level) <= F.col("threshold"))
     return out.select(*docs.columns, "perplexity", "threshold", kept.alias("kept"))
