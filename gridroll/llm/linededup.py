@@ -25,17 +25,23 @@ from gridroll.session import materialize
 
 #: Words of a gram, and grams of a window.
 MIN_WORDS, WINDOW = 16, 2
-#: Lines end after a newline; sentences after a full stop, question or exclamation mark and a blank.
-CUT = r"(?<=\n)|(?<=[.!?]\s)(?=\S)"
+#: Lines end after a newline; sentences after a full stop, question or exclamation mark and white space.
+CUT = r"([.!?]\s+|\n)"
+#: What marks the cuts for a moment: the first of these that a text does not hold. A text that holds both is one line.
+MARKS = ("\x01", "\x02")
 
 
 def _pieces(text: Column) -> Column:
-    return F.split(F.coalesce(text, F.lit("")), CUT)
+    """The lines and sentences of a text with the white space after them; end to end they are the text."""
+    text = F.coalesce(text, F.lit(""))
+    cut = lambda m: F.split(F.regexp_replace(text, CUT, "$1" + m), m)
+    free = lambda m: ~F.contains(text, F.lit(m))
+    return F.when(free(MARKS[0]), cut(MARKS[0])).when(free(MARKS[1]), cut(MARKS[1])).otherwise(F.array(text))
 
 
 def _lines(text: Column) -> Column:
     """The lines with words as (place among all, hash, words); words are told apart by blanks."""
-    bare = lambda u: F.regexp_replace(F.trim(F.translate(u, "\t\n\x0b\x0c\r", "     ")), " +", " ")
+    bare = lambda u: F.trim(F.translate(u, "\t\n\x0b\x0c\r", "     "))
     all_ = F.transform(_pieces(text), lambda u, i: F.struct(i.alias("i"), bare(u).alias("u")))
     return F.transform(F.filter(all_, lambda x: x["u"] != ""), lambda x: F.struct(x["i"].alias("i"), F.xxhash64(x["u"]).alias("h"), (F.length(x["u"]) - F.length(F.replace(x["u"], F.lit(" "))) + 1).alias("w")))
 
@@ -49,12 +55,18 @@ def _grams(x: Column, k: int) -> Column:
     return F.transform(x, lambda y, p: F.when(y["w"] >= k, F.struct(F.lit(1).alias("n"), F.xxhash64(F.lit(0).cast("long"), y["h"]).alias("g"))).otherwise(F.aggregate(F.slice(x, p + 1, F.lit(k)), start, step, done)))
 
 
-def _fingerprints(grams: Column, w: int) -> Column:
-    """(line, lines, hash) of the grams that are the least of a window, or of one line."""
-    hashes = F.transform(grams, lambda y: y["g"])
-    least = lambda p: F.array_min(F.slice(hashes, p + 1, F.lit(w)))  # noqa: E731  nulls, grams cut off by the end, do not count
-    marked = F.transform(grams, lambda y, p: F.struct(p.alias("p"), y["n"].alias("n"), y["g"].alias("g"), F.exists(F.sequence(F.greatest(p - (w - 1), F.lit(0)), p), lambda s: least(s) == y["g"]).alias("low")))
-    return F.filter(marked, lambda y: (y["n"] > 0) & (y["low"] | (y["n"] == 1)))
+def _fixed(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that is computed once a row; a plain projection would be computed again wherever a lambda uses it."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def _fingerprints(df: DataFrame, k: int, w: int) -> DataFrame:
+    """(_d, _t, line, lines, hash) of the grams of ``x`` that are the least of a window, or of one line."""
+    grams = _fixed(df, "y", _grams(F.col("x"), k)).drop("x")
+    least = _fixed(grams, "least", F.transform("y", lambda y, p: F.array_min(F.transform(F.slice("y", p + 1, F.lit(w)), lambda z: z["g"]))))  # nulls, grams cut off by the end, do not count
+    low = lambda y, p: F.array_contains(F.slice("least", F.greatest(p - (w - 2), F.lit(1)), F.least(p + 1, F.lit(w))), y["g"])
+    chosen = F.filter(F.transform("y", lambda y, p: F.when((y["n"] > 0) & ((y["n"] == 1) | low(y, p)), F.struct(p.alias("p"), y["n"].alias("n"), y["g"].alias("g")))), lambda f: f.isNotNull())
+    return least.select("_d", "_t", F.explode(chosen).alias("f")).select("_d", "_t", "f.p", "f.n", "f.g")
 
 
 def _merged(runs: Column) -> Column:
@@ -74,20 +86,18 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, window: int = WINDO
     """Delete later repeats of runs of lines, within and across documents.
 
     Documents are ordered by id, rows without an id last. Returns ``docs`` with
-    ``text`` cleaned and three columns more: n_lines, n_removed (lines) and
-    removed (runs of line numbers from 0, sentences counting as lines). Blank
-    lines stay, except between deleted ones. A null text stays null and has no
-    lines. Rows with the same id and text are one document and lose the same
+    ``text`` cleaned and two columns more: n_removed (lines) and removed (runs
+    of line numbers from 0, sentences counting as lines). Blank
+    lines stay, except between deleted ones. A null text stays null. Rows with the same id and text are one document and lose the same
     lines. An empty table gives an empty result. Columns of ``docs`` that are
     named like the new ones are replaced.
     """
     k, w = min_words, window
-    docs = docs.drop("n_lines", "n_removed", "removed")
+    docs = docs.drop("n_removed", "removed")
     key = [F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("_d"), F.xxhash64(text_col).alias("_t")]
     slim = materialize(docs.select(*key, _lines(F.col(text_col)).alias("x")).where(F.size("x") > 0))
-    prints = slim.select("_d", "_t", F.explode(_fingerprints(_grams(F.col("x"), k), w)).alias("f")).select("_d", "_t", "f.p", "f.n", "f.g")
     at = F.struct(F.col("_d").alias("d"), F.col("_t").alias("t"), F.col("p").alias("p"))
-    prints = materialize(prints)
+    prints = materialize(_fingerprints(slim, k, w))
     firsts = prints.groupBy("g").agg(F.min(at).alias("a"), F.max(at).alias("z"), F.max("n").alias("n")).where("a <> z").select("g", F.col("a.d").alias("_d"), F.col("a.t").alias("_t"), F.col("a.p").alias("pa"), "n")
     # the first occurrence with its context: w - 1 lines before, and after it as many as can lack a fingerprint
     short = F.struct(F.lit(0).alias("s"), F.array().cast("array<bigint>").alias("a"))
@@ -114,6 +124,5 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, window: int = WINDO
     pieces = _pieces(F.col(text_col))
     kept = F.filter(pieces, lambda u, i: ~F.exists("removed", lambda r: (i >= r["lo"]) & (i <= r["hi"])))
     text = F.when(F.col("removed").isNull(), F.col(text_col)).otherwise(F.array_join(kept, ""))
-    n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(pieces))
     n_removed = F.coalesce(F.aggregate("removed", F.lit(0), lambda a, r: a + r["hi"] - r["lo"] + 1), F.lit(0))
-    return out.select(*[text.alias(c) if c == text_col else c for c in docs.columns], n_lines.alias("n_lines"), n_removed.alias("n_removed"), F.coalesce("removed", none).alias("removed"))
+    return out.select(*[text.alias(c) if c == text_col else c for c in docs.columns], n_removed.alias("n_removed"), F.coalesce("removed", none).alias("removed"))

@@ -83,16 +83,16 @@ def prefix_size(n: int, t: Fraction) -> int:
     return n - -(-n * t.numerator // t.denominator) + 1
 
 
-def in_order(s: np.ndarray, known: np.ndarray, often: np.ndarray) -> np.ndarray:
-    """The n-grams of a set in the global order: those not known as frequent by hash, then the known by frequency and hash."""
+def in_order(s: np.ndarray, known: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, int]:
+    """The n-grams of a set in the global order, those not known as frequent by hash, then the known by frequency and hash; and how many in a thousand are known."""
     if not len(known):
-        return s
+        return s, 0
     i = np.minimum(np.searchsorted(known, s), len(known) - 1)
     hit = known[i] == s
     if not hit.any():
-        return s
+        return s, 0
     rest = s[hit]
-    return np.concatenate([s[~hit], rest[np.lexsort((rest, often[i[hit]]))]])
+    return np.concatenate([s[~hit], rest[np.lexsort((rest, often[i[hit]]))]]), 1000 * len(rest) // len(s)
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], k: int, t: Fraction, fragments: int, known: np.ndarray, often: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -101,12 +101,13 @@ def _prefixes(batches: Iterator[pa.RecordBatch], k: int, t: Fraction, fragments:
     grams: list[np.ndarray] = []
     classes: list[int] = []
     sizes: list[int] = []
+    usual: list[int] = []
     n_held = 0
 
     def packed() -> pa.RecordBatch:
         g = np.concatenate(grams)
         of = np.repeat(np.arange(len(grams)), [len(x) for x in grams])
-        cls, size = np.array(classes, np.int64), np.array(sizes, np.int64)
+        cls, size, common = np.array(classes, np.int64), np.array(sizes, np.int64), np.array(usual, np.int64)
         part = ((g >> U64(32)) * U64(fragments) >> U64(32)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         bounds = np.searchsorted(part[order], np.arange(fragments + 1))
@@ -115,17 +116,19 @@ def _prefixes(batches: Iterator[pa.RecordBatch], k: int, t: Fraction, fragments:
             o = order[bounds[f] : bounds[f + 1]]
             if len(o):
                 who, idx = np.unique(of[o], return_inverse=True)
-                rows.append((f, g[o].tobytes(), idx.astype(np.uint32).tobytes(), cls[who].tobytes(), size[who].astype(np.uint32).tobytes()))
-        for x in (grams, classes, sizes):
+                rows.append((f, g[o].tobytes(), idx.astype(np.uint32).tobytes(), cls[who].tobytes(), size[who].astype(np.uint32).tobytes(), common[who].astype(np.uint16).tobytes()))
+        for x in (grams, classes, sizes, usual):
             x.clear()
-        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)], names=["frag", "grams", "idx", "classes", "sizes"])
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 5), strict=True)], names=["frag", "grams", "idx", "classes", "sizes", "common"])
 
     for whole in batches:
         for b in slices(whole, "text"):
             for s, c in _sets(b, k):
                 if len(s) and c not in seen:
                     seen.add(c)
-                    p = in_order(s, known, often)[: prefix_size(len(s), t)]
+                    ordered, common = in_order(s, known, often)
+                    p = ordered[: prefix_size(len(s), t)]
+                    usual.append(common)
                     grams.append(p)
                     classes.append(c)
                     sizes.append(len(s))
@@ -147,10 +150,10 @@ def _fragment(batches: Iterator[pa.RecordBatch], t: Fraction) -> Iterator[pa.Rec
     for b in batches:
         for r in b.to_pylist():
             idx = np.frombuffer(r["idx"], np.uint32)
-            parts.append((np.frombuffer(r["grams"], U64), np.frombuffer(r["classes"], np.int64)[idx], np.frombuffer(r["sizes"], np.uint32)[idx]))
+            parts.append((np.frombuffer(r["grams"], U64), np.frombuffer(r["classes"], np.int64)[idx], np.frombuffer(r["sizes"], np.uint32)[idx], np.frombuffer(r["common"], np.uint16)[idx]))
     if not parts:
         return
-    g, c, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    g, c, n, central = (np.concatenate(x) for x in zip(*parts, strict=True))
     parts.clear()
     # n-grams of one class alone go first: most occur once
     o = np.argsort(g, kind="stable")
@@ -159,12 +162,12 @@ def _fragment(batches: Iterator[pa.RecordBatch], t: Fraction) -> Iterator[pa.Rec
     more[1:] = g[1:] == g[:-1]
     more[:-1] |= more[1:]
     o, g = o[more], g[more]
-    c, n = c[o], n[o].astype(np.int64)
+    c, n, central = c[o], n[o].astype(np.int64), central[o].astype(np.int64)
     o = np.lexsort((c, g))
-    g, c, n = g[o], c[o], n[o]
+    g, c, n, central = g[o], c[o], n[o], central[o]
     new = np.ones(len(g), bool)
     new[1:] = (g[1:] != g[:-1]) | (c[1:] != c[:-1])
-    g, c, n = g[new], c[new], n[new]
+    g, c, n, central = g[new], c[new], n[new], central[new]
     if not len(g):
         return
     cut = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
@@ -191,17 +194,16 @@ def _fragment(batches: Iterator[pa.RecordBatch], t: Fraction) -> Iterator[pa.Rec
     led, members = [], []
     for at, m, gid, k in zip(cut[~two].tolist(), size[~two].tolist(), mark[~two].view(np.int64).tolist(), times[~two].tolist(), strict=True):
         cc, nn = c[at : at + m], n[at : at + m]
-        o = np.lexsort((cc, nn))
+        members.append((np.full(m, gid), cc, np.full(m, k), nn, np.zeros(m, np.int64)))
+        o = np.lexsort((cc, -central[at : at + m]))  # what consists of frequent n-grams most is nearest to most others; the order is the same in all groups
         cc, nn = cc[o], nn[o]
-        lead = 0
-        while lead < m:  # the smallest set leads all that are not too large to be similar to it
-            to = max(int(np.searchsorted(nn, nn[lead] * t.denominator // t.numerator, side="right")), lead + 1)
-            a, b_ = np.full(to - lead - 1, cc[lead]), cc[lead + 1 : to]
-            na, nb = np.full(to - lead - 1, nn[lead]), nn[lead + 1 : to]
+        while len(cc) > 1:  # a leader is compared with all that its size allows; the others get leaders of their own
+            near = np.minimum(nn, nn[0]) * t.denominator >= np.maximum(nn, nn[0]) * t.numerator
+            b_, nb = cc[1:][near[1:]], nn[1:][near[1:]]
+            a, na = np.full(len(b_), cc[0]), np.full(len(b_), nn[0])
             low = a < b_
             led.append((np.where(low, a, b_), np.where(low, b_, a), np.full(len(a), k), np.where(low, na, nb), np.where(low, nb, na)))
-            lead = to
-        members.append((np.full(m, gid), cc, np.full(m, k), nn, np.zeros(m, np.int64)))
+            cc, nn = cc[~near], nn[~near]
     if led:
         a, b_, m, na, nb = (np.concatenate(x) for x in zip(*led, strict=True))
         o = np.lexsort((b_, a))
@@ -271,7 +273,7 @@ def jaccard_join(docs: DataFrame, threshold: Fraction = Fraction(3, 4), k: int =
     order = spark.sparkContext.broadcast((known[o], top.column("df").to_numpy()[o]))
     total = ids.agg(F.sum("n_shingles")).first()[0] or 0
     fragments = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total * (1 - threshold)) // FRAGMENT)
-    packed = slim.mapInArrow(lambda it: _prefixes(it, k, threshold, fragments, *order.value), "frag int, grams binary, idx binary, classes binary, sizes binary")
+    packed = slim.mapInArrow(lambda it: _prefixes(it, k, threshold, fragments, *order.value), "frag int, grams binary, idx binary, classes binary, sizes binary, common binary")
     met = materialize(packed.repartition(fragments, "frag").mapInArrow(lambda it: _fragment(it, threshold), "kind int, a long, b long, m long, n long, n2 long"))
 
     def compared(pairs: DataFrame) -> DataFrame:
@@ -285,13 +287,13 @@ def jaccard_join(docs: DataFrame, threshold: Fraction = Fraction(3, 4), k: int =
     p, q = threshold.numerator, threshold.denominator
     rest = lambda n: F.ceil(F.col(n) * p / q) - 1  # noqa: E731  n-grams beyond the prefix
 
-    def possible(counts: DataFrame) -> DataFrame:
-        """Pairs (a, b) whose counted overlap ``m`` and all n-grams beyond the prefix reach the overlap needed, p / (p + q) of both sizes."""
+    def possible(counts: DataFrame, times: int = 1) -> DataFrame:
+        """Pairs (a, b) whose counted overlap ``m``, ``times`` over, and all n-grams beyond the prefix reach the overlap needed, p / (p + q) of both sizes."""
         summed = counts.groupBy("a", "b").agg(F.sum("m").alias("m"), F.first("n").alias("n"), F.first("n2").alias("n2"))
-        return summed.where((F.col("m") + F.greatest(rest("n"), rest("n2"))) * (p + q) >= (F.col("n") + F.col("n2")) * p).select("a", "b")
+        return summed.where((F.col("m") * times + F.greatest(rest("n"), rest("n2"))) * (p + q) >= (F.col("n") + F.col("n2")) * p).select("a", "b")
 
     # what leaders share with those they lead is counted in part only, so a pair that is left out here comes up again below
-    first = materialize(possible(met.where(F.col("kind") != MEMBER).select("a", "b", "m", "n", "n2")))
+    first = materialize(possible(met.where(F.col("kind") != MEMBER).select("a", "b", "m", "n", "n2"), 3))
     links = compared(first)
     comp = materialize(components(links))
     of = comp.select(F.col("id").alias("c"), "component")
