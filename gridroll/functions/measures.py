@@ -39,21 +39,21 @@ class Measure:
         return self.merge(F.col(self.name)).cast(self.kind).alias(self.name)
 
 
-def _sum(name: str, kind: str, col: str | Column | None) -> Measure:
-    source = F.col(col) if isinstance(col, str) else col if col is not None else F.col(name)
-    return Measure(name, kind, lambda: F.sum(source.cast(kind)), F.sum, lambda a, b: (a + b).cast(kind), lambda a, b: (a - b).cast(kind))
+def _sum(name: str, kind: str, col: str | Column | Callable[[], Column] | None) -> Measure:
+    source = lambda: col if isinstance(col, Column) else col() if callable(col) else F.col(col or name)
+    return Measure(name, kind, lambda: F.sum(source().cast(kind)), F.sum, lambda a, b: (a + b).cast(kind), lambda a, b: (a - b).cast(kind))
 
 
-def long_sum(name: str = "value", col: str | Column | None = None) -> Measure:
+def long_sum(name: str = "value", col: str | Column | Callable[[], Column] | None = None) -> Measure:
     return _sum(name, "bigint", col)
 
 
-def int_sum(name: str = "value", col: str | Column | None = None) -> Measure:
+def int_sum(name: str = "value", col: str | Column | Callable[[], Column] | None = None) -> Measure:
     """32-bit: Spark sums in 64 bits, and the cast back raises where the sum does not fit."""
     return _sum(name, "int", col)
 
 
-def double_sum(name: str = "value", col: str | Column | None = None) -> Measure:
+def double_sum(name: str = "value", col: str | Column | Callable[[], Column] | None = None) -> Measure:
     """IEEE doubles; the last bits depend on the order of summation."""
     return _sum(name, "double", col)
 

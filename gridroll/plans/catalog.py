@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridroll.functions import bucketers as b
@@ -31,7 +31,10 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 R = Rollup.of
-CENTS = F.round(F.col("value") * 100).cast("bigint")
+
+
+def cents() -> Column:
+    return F.round(F.col("value") * 100).cast("bigint")
 
 
 def plain(cells: DataFrame, *columns: str) -> DataFrame:
@@ -41,7 +44,7 @@ def plain(cells: DataFrame, *columns: str) -> DataFrame:
 
 def events_spec(measures=None, type_source="event_type") -> CubeSpec:
     dims = [Dimension("time", b.Time(), "ts"), Dimension("type", b.string(), type_source), Dimension("user", b.long(), "user_id")]
-    return CubeSpec("events", dims, [R(("time", "hour")), R(("time", "day"), "type"), R()], measures or [ms.count("n"), ms.long_sum("cents", CENTS)])
+    return CubeSpec("events", dims, [R(("time", "hour")), R(("time", "day"), "type"), R()], measures or [ms.count("n"), ms.long_sum("cents", cents)])
 
 
 _EVENTS = "SELECT date_trunc('hour', ts)::TIMESTAMP AS h, date_trunc('day', ts)::TIMESTAMP AS d, event_type AS t, user_id AS u, CAST(round(value * 100) AS BIGINT) AS c, * FROM events"
@@ -78,7 +81,7 @@ def cube_geo_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT date_trunc('week', ts)::TIMESTAMP AS time__week, count(*) AS n, sum(CAST(round(value * 100) AS BIGINT))::BIGINT AS cents FROM events GROUP BY 1")
 def rollup_week_cents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spec = CubeSpec("weeks", [Dimension("time", b.Time(["week"]), "ts")], [R(("time", "week"))], [ms.count("n"), ms.long_sum("cents", CENTS)])
+    spec = CubeSpec("weeks", [Dimension("time", b.Time(["week"]), "ts")], [R(("time", "week"))], [ms.count("n"), ms.long_sum("cents", cents)])
     return fanout.build_cells(spec, table(spark, sf_dir, "events")).select("time__week", "n", "cents")
 
 
@@ -223,8 +226,8 @@ def merge_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT user_id AS user__identity, arg_max(CAST(round(value * 100) AS BIGINT), (ts, event_id)) AS cents FROM events GROUP BY 1")
 def overwrite_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overwriting event by event leaves each user's last value."""
-    spec = CubeSpec("users", [Dimension("user", b.long(), "user_id")], [R("user")], [ms.long_sum("cents", CENTS)])
-    e = table(spark, sf_dir, "events").select(F.lit("users").alias("cube"), F.lit("user").alias("rollup_id"), F.col("user_id").alias("user__identity"), CENTS.alias("cents"), "ts", "event_id")
+    spec = CubeSpec("users", [Dimension("user", b.long(), "user_id")], [R("user")], [ms.long_sum("cents", cents)])
+    e = table(spark, sf_dir, "events").select(F.lit("users").alias("cube"), F.lit("user").alias("rollup_id"), F.col("user_id").alias("user__identity"), cents().alias("cents"), "ts", "event_id")
     return merge.overwrite_in_order(spec, e, F.struct("ts", "event_id")).select("user__identity", "cents")
 
 

@@ -121,7 +121,7 @@ class CellStore:
         empty = self._empty()
         if not folders:
             return empty
-        found = self.spark.read.schema(empty.schema).option("basePath", self.path).parquet(*[f"{self.path}/{f}" for f in folders])
+        found = self.spark.read.schema(empty.schema).option("recursiveFileLookup", "true").parquet(*[f"{self.path}/{f}" for f in folders])
         return m.combined(self.spec, found).select(*empty.columns) if any(len(fs) > 1 for fs in held.values()) else found
 
     def _empty(self) -> DataFrame:
@@ -204,7 +204,7 @@ class CellStore:
                     rollups[k] = [*rollups.get(k, []), v]
                 full = [k for k, v in rollups.items() if len(v) > self.config.deltas]
                 if full:
-                    old = self.spark.read.schema(self._with(kinds).schema).parquet(*[f"{self.path}/{f}" for k in full for f in rollups[k]])
+                    old = self.spark.read.schema(self._with(kinds).schema).option("recursiveFileLookup", "true").parquet(*[f"{self.path}/{f}" for k in full for f in rollups[k]])
                     rollups |= {k: [v] for k, v in self._write(m.combined(self.spec, old)).items()}
             batches = held["batches"] | ({writer: batch_id} if writer is not None else {})
             return {"rollups": rollups, "batches": batches, "kinds": {**held.get("kinds", {}), **kinds}}
