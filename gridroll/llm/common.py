@@ -20,6 +20,12 @@ def word_count(text: str | Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def masked(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with all columns renamed out of the way of an operator's own, and the new name of each."""
+    names = {c: f"_c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
 def join_small(df: DataFrame, small: DataFrame, on: Column | list[str], how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
     """Join with a side that is usually small.
 

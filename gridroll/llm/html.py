@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridroll.llm.common import masked
 from gridroll.llm.textvec import slices
 
 #: Window of lines, and the window sum in characters that counts as a surge.
@@ -174,7 +175,8 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     replaced. Rows are handled one by one, so repeated rows and empty tables
     need no care.
     """
-    rest = [c for c in pages.columns if c not in ("text", "n_chars", html_col)]
+    pages, hidden = masked(pages)
+    rest = {c: h for c, h in hidden.items() if c not in ("text", "n_chars", html_col)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -182,6 +184,6 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
                 text = [main_text(x) for x in b.column("_page").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(text, pa.string()), pa.array([len(x) for x in text], pa.int64())], names=[*b.schema.names[1:], "text", "n_chars"])
 
-    slim = pages.select(F.col(html_col).cast("string").alias("_page"), *rest)
+    slim = pages.select(F.col(hidden[html_col]).cast("string").alias("_page"), *rest.values())
     schema = slim.drop("_page").withColumn("text", F.lit("")).withColumn("n_chars", F.lit(0).cast("long")).schema
-    return slim.mapInArrow(run, schema)
+    return slim.mapInArrow(run, schema).toDF(*rest, "text", "n_chars")

@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridroll.llm.common import masked
 from gridroll.session import materialize
 
 #: Words of a gram, and grams of a window.
@@ -100,7 +101,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, window: int = WINDO
     named like the new ones are replaced.
     """
     k, w = min_words, window
-    docs = docs.drop("n_removed", "removed")
+    docs, hidden = masked(docs.drop("n_removed", "removed"))
+    id_col, text_col = hidden[id_col], hidden[text_col]
     key = [F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("_d"), F.hash(text_col).alias("_t")]
     slim = materialize(docs.select(*key, _lines(F.col(text_col)).alias("x")).where(F.size("x") > 0))
     at = F.struct(F.col("_d").alias("d"), F.col("_t").alias("t"), F.col("p").alias("p"))
@@ -135,4 +137,4 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, window: int = WINDO
     text = F.when(F.col("removed").isNull(), F.col(text_col)).otherwise(F.array_join(kept, ""))
     # runs that were extended towards each other may share lines
     n_removed = F.coalesce(F.aggregate("removed", F.struct(F.lit(0).alias("n"), F.lit(-1).alias("to")), lambda a, r: F.struct((a["n"] + F.greatest(r["hi"] - F.greatest(r["lo"], a["to"] + 1) + 1, F.lit(0))).alias("n"), F.greatest(a["to"], r["hi"]).alias("to")), lambda a: a["n"]), F.lit(0))
-    return out.select(*[text.alias(c) if c == text_col else c for c in docs.columns], n_removed.alias("n_removed"), F.coalesce("removed", none).alias("removed"))
+    return out.select(*[(text if h == text_col else F.col(h)).alias(c) for c, h in hidden.items()], n_removed.alias("n_removed"), F.coalesce("removed", none).alias("removed"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridroll.llm.common import join_small
+from gridroll.llm.common import join_small, masked
 from gridroll.llm.textvec import U64, flat, slices
 from gridroll.session import materialize
 
@@ -164,6 +164,8 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.985, slack:
     spark = docs.sparkSession
     docs = docs.drop("perplexity", "threshold", "kept")
     marks = materialize(labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).alias("lo"), F.max(label_col).alias("hi")).where("lo = 1 and hi = 1").select("_id", F.lit(True).alias("trusted")))
+    docs, hidden = masked(docs)
+    id_col, text_col, lang_col = (hidden[c] for c in (id_col, text_col, lang_col))
     marked = join_small(docs, marks, docs[id_col] == marks["_id"], "left", LABELS_BROADCAST).drop("_id")
     lang, text = F.coalesce(F.concat(F.lit("="), F.col(lang_col)), F.lit("")), F.coalesce(F.col(text_col), F.lit(""))
     slim = marked.select(lang.alias("lang"), text.alias("text"), F.coalesce("trusted", F.lit(False)).alias("trusted"))
@@ -171,7 +173,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.985, slack:
     p = materialize(probabilities(counted, order))
     rest = [c for c in marked.columns]
     full = marked.select(lang.alias("_lang"), text.alias("_text"), *rest)
-    schema = full.drop("_lang", "_text").withColumn("_mean", F.lit(0.0)).schema
+    schema = full.drop("_lang", "_text").withColumn("_mean", F.lit(None).cast("double")).schema
 
     def rename(b: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([b.column("_lang"), b.column("_text")], names=["lang", "text"])
@@ -219,4 +221,4 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.985, slack:
     cuts = cum.where(F.col("upto") >= F.col("all") * quantile).groupBy("_l").agg((F.exp((F.min("bin") + 1) / BINS) * slack).alias("threshold"))
     out = scored.join(usual, "_l", "left").join(F.broadcast(materialize(cuts)), "_l", "left")
     kept = F.when(F.col("_n") == 0, False).when(F.col("threshold").isNull(), True).otherwise(F.exp(level) <= F.col("threshold"))
-    return out.select(*docs.columns, "perplexity", "threshold", kept.alias("kept"))
+    return out.select(*[F.col(h).alias(c) for c, h in hidden.items()], "perplexity", "threshold", kept.alias("kept"))
