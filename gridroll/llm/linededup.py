@@ -47,19 +47,22 @@ def _pieces(text: Column) -> Column:
 
 
 def _lines(text: Column) -> Column:
-    """The lines with words as (place among all, hash, words); words are told apart by blanks."""
-    bare = lambda u: F.trim(F.translate(u, "\t\n\x0b\x0c\r", "     "))
+    """The lines with words as (place among all, hash, words); blanks tell words apart."""
+    bare = lambda u: F.btrim(u, F.lit(" \t\n\x0b\x0c\r"))
     all_ = F.transform(_pieces(text), lambda u, i: F.struct(i.alias("i"), bare(u).alias("u")))
-    return F.transform(F.filter(all_, lambda x: x["u"] != ""), lambda x: F.struct(x["i"].alias("i"), F.xxhash64(x["u"]).alias("h"), (F.length(x["u"]) - F.length(F.replace(x["u"], F.lit(" "))) + 1).alias("w")))
+    return F.transform(F.filter(all_, lambda x: x["u"] != ""), lambda x: F.struct(x["i"].alias("i"), F.xxhash64(x["u"]).alias("h"), (F.octet_length(x["u"]) - F.octet_length(F.replace(x["u"], F.lit(" "))) + 1).alias("w")))
 
 
 def _grams(x: Column, k: int) -> Column:
     """For every line the gram that starts there as (lines, hash); (0, null) where too few words follow."""
     start = F.struct(F.lit(0).alias("s"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("g"))
     step = lambda a, y: F.when(a["s"] >= k, a).otherwise(F.struct((a["s"] + y["w"]).alias("s"), (a["n"] + 1).alias("n"), F.xxhash64(a["g"], y["h"]).alias("g")))
-    done = lambda a: F.struct(F.when(a["s"] >= k, a["n"]).otherwise(0).alias("n"), F.when(a["s"] >= k, a["g"]).alias("g"))
-    # a line of k words is a gram by itself; else at most k lines are looked at, since each has a word
-    return F.transform(x, lambda y, p: F.when(y["w"] >= k, F.struct(F.lit(1).alias("n"), F.xxhash64(F.lit(0).cast("long"), y["h"]).alias("g"))).otherwise(F.aggregate(F.slice(x, p + 1, F.lit(k)), start, step, done)))
+    done = lambda a: F.when(a["s"] >= k, F.struct(a["n"].alias("n"), a["g"].alias("g")))
+    within = lambda p, lines: F.aggregate(F.slice(x, p + 1, F.lit(lines)), start, step, done)
+    single = lambda y: F.when(y["w"] >= k, F.struct(F.lit(1).alias("n"), F.xxhash64(F.lit(0).cast("long"), y["h"]).alias("g")))
+    cut_off = F.struct(F.lit(0).alias("n"), F.lit(None).cast("long").alias("g"))
+    # each line has a word, so k lines are enough; mostly a few are
+    return F.transform(x, lambda y, p: F.coalesce(single(y), within(p, min(4, k)), within(p, k), cut_off))
 
 
 def _fixed(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -111,24 +114,26 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, window: int = WINDO
     # the first occurrence with its context: w - 1 lines before, and after it as many as can lack a fingerprint
     short = F.struct(F.lit(0).alias("s"), F.array().cast("array<bigint>").alias("a"))
     near = lambda a, y: F.struct((a["s"] + y["w"]).alias("s"), F.when(a["s"] < w * k, F.concat(a["a"], F.array(y["h"]))).otherwise(a["a"]).alias("a"))
-    tail = lambda x, q: F.aggregate(F.slice(x, q + 1, F.lit(w * k)), short, near, lambda a: a["a"])
-    head = lambda x, p: F.reverse(F.transform(F.slice(x, F.greatest(p - (w - 2), F.lit(1)), F.least(p, F.lit(w - 1))), lambda y: y["h"]))
-    once = slim.dropDuplicates(["_d", "_t"])
-    known = firsts.join(once, ["_d", "_t"]).select("g", F.col("_d").alias("da"), F.col("_t").alias("ta"), "pa", head(F.col("x"), F.col("pa")).alias("before"), tail(F.col("x"), F.col("pa") + F.col("n")).alias("after"))
+    some = lambda c, q: F.slice(c, q + 1, F.lit(w * k))
+    tail = lambda q: F.aggregate(F.arrays_zip(some("h", q).alias("h"), some("w", q).alias("w")), short, near, lambda a: a["a"])
+    head = lambda p: F.reverse(F.slice("h", F.greatest(p - (w - 2), F.lit(1)), F.least(p, F.lit(w - 1))))
+    # plain arrays are less than half as large in a shuffle as one of structs
+    once = slim.select("_d", "_t", F.col("x.h").alias("h"), F.col("x.w").alias("w"), F.col("x.i").alias("i")).dropDuplicates(["_d", "_t"])
+    known = firsts.join(once.drop("i"), ["_d", "_t"]).select("g", F.col("_d").alias("da"), F.col("_t").alias("ta"), "pa", head(F.col("pa")).alias("before"), tail(F.col("pa") + F.col("n")).alias("after"))
     known = materialize(known)
     hi = (F.col("p") + F.col("n") - 1).alias("hi")
     later = prints.join(known, "g").where("not (_d = da and _t = ta and p = pa)").select("_d", "_t", F.struct(F.col("p").alias("lo"), hi, "before", "after").alias("m"))
     by_doc = later.groupBy("_d", "_t").agg(F.collect_list("m").alias("ms"))  # at most a match for each line of the document
     united = _fixed(by_doc, "runs", _merged(F.col("ms"))).drop("ms")
     # how many lines before the first and after the last match of a run agree as well
-    same = lambda x, near, place: F.aggregate(near, F.struct(F.lit(0).alias("n"), F.lit(True).alias("go")), lambda a, h: F.when(a["go"] & (F.try_element_at(x, place(a["n"]))["h"] == h), F.struct((a["n"] + 1).alias("n"), F.lit(True).alias("go"))).otherwise(F.struct(a["n"].alias("n"), F.lit(False).alias("go"))), lambda a: a["n"])
-    grown = lambda x: lambda m: F.struct(
-        (m["lo"] - same(x, m["before"], lambda n: F.when(m["lo"] - n > 0, m["lo"] - n).otherwise(F.lit(1 << 30)))).alias("lo"),
-        (m["hi"] + same(x, m["after"], lambda n: m["hi"] + n + 2)).alias("hi"),
+    same = lambda near, place: F.aggregate(near, F.struct(F.lit(0).alias("n"), F.lit(True).alias("go")), lambda a, h: F.when(a["go"] & (F.try_element_at("h", place(a["n"])) == h), F.struct((a["n"] + 1).alias("n"), F.lit(True).alias("go"))).otherwise(F.struct(a["n"].alias("n"), F.lit(False).alias("go"))), lambda a: a["n"])
+    grown = lambda m: F.struct(
+        (m["lo"] - same(m["before"], lambda n: F.when(m["lo"] - n > 0, m["lo"] - n).otherwise(F.lit(1 << 30)))).alias("lo"),
+        (m["hi"] + same(m["after"], lambda n: m["hi"] + n + 2)).alias("hi"),
     )
     # from places among the lines with words to places among all pieces
-    whole = lambda x: lambda r: F.struct(F.element_at(x, r["lo"] + 1)["i"].alias("lo"), F.element_at(x, r["hi"] + 1)["i"].alias("hi"))
-    runs = _fixed(united.join(once, ["_d", "_t"]), "grown", F.transform("runs", grown(F.col("x")))).select("_d", "_t", F.transform("grown", whole(F.col("x"))).alias("removed"))
+    whole = lambda r: F.struct(F.element_at("i", r["lo"] + 1).alias("lo"), F.element_at("i", r["hi"] + 1).alias("hi"))
+    runs = _fixed(united.join(once.drop("w"), ["_d", "_t"]), "grown", F.transform("runs", grown)).select("_d", "_t", F.transform("grown", whole).alias("removed"))
     keyed = docs.withColumns(dict(zip(("_d", "_t"), key, strict=True)))
     out = keyed.join(runs, ["_d", "_t"], "left").drop("_d", "_t")
     none = F.array().cast("array<struct<lo:int,hi:int>>")
