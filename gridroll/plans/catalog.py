@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,9 +12,13 @@ from pyspark.sql import functions as F
 from gridroll.functions import bucketers as b
 from gridroll.functions import codecs
 from gridroll.functions import measures as ms
+from gridroll.metrics import by_rollup
 from gridroll.operators import backfill, fanout, ids, merge, reads
-from gridroll.session import table
+from gridroll.session import shared_dir, table
+from gridroll.sources import points, scans
 from gridroll.spec import CubeSpec, Dimension, Read, Rollup
+from gridroll.store import CellStore, StoreConfig
+from gridroll.streaming.writer import BATCH_SYNC, write_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -295,6 +300,71 @@ def row_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.select(F.lower(F.hex(codecs.row_key(spec, cells, {"user": 8, "type": 4}))).alias("key"), "n")
 
 
+_FLAT = ["time__hour", "time__day", "type__identity", "n", "cents"]
+
+
+@query(_SQL["cube_events_grouping_sets"])
+def store_increment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two batches committed to a Parquet store, and a third delivered again, which changes nothing."""
+    spec = events_spec()
+    store = CellStore(spark, f"{shared_dir(spark)}/stores/{uuid.uuid4().hex}", spec)
+    even, odd = _halves(spark, sf_dir, spec)
+    store.merge(even, writer="w", batch_id=0)
+    store.merge(odd, writer="w", batch_id=1)
+    store.merge(odd, writer="w", batch_id=1)
+    return plain(store.cells(), *_FLAT)
+
+
+@query(_SQL["merge_overwrite"])
+def store_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = CubeSpec("users", [Dimension("user", b.long(), "user_id")], [R("user")], [ms.count("n")])
+    store = CellStore(spark, f"{shared_dir(spark)}/stores/{uuid.uuid4().hex}", spec, StoreConfig(commit=merge.OVERWRITE))
+    for half in _halves(spark, sf_dir, spec):
+        store.merge(half)
+    return store.cells().select("user__identity", "n")
+
+
+@query(_SQL["cube_events_grouping_sets"])
+def stream_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream, merged into a store: the same cells as in one batch."""
+    spec, at = events_spec(), f"{shared_dir(spark)}/stores/{uuid.uuid4().hex}"
+    store = CellStore(spark, at, spec)
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    write_stream(points.stream(spark, sf_dir, schema, pathGlobFilter="events.parquet"), store, f"{at}-checkpoint", BATCH_SYNC)
+    return plain(store.cells(), *_FLAT)
+
+
+@query(_FATE.format(b="event_id % 3 = 0") + "SELECT rollup_id, u AS user__identity, t AS type__identity, n FROM f WHERE n IS NOT NULL")
+def store_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six eighths of the events, a snapshot, the rest, and history recounted from a third of them."""
+    spec, live, snap, back = _history(spark, sf_dir, "event_id % 3 = 0")
+    store = CellStore(spark, f"{shared_dir(spark)}/stores/{uuid.uuid4().hex}", spec)
+    since = store.merge(snap)
+    store.merge(fanout.build_cells(spec, table(spark, sf_dir, "events").where("event_id % 8 >= 6")))
+    backfill.run_backfill(store, lambda: back, since)
+    return store.cells().select("rollup_id", "user__identity", "type__identity", "n")
+
+
+@query("""WITH d AS (SELECT event_type, dense_rank() OVER (ORDER BY event_type) - 1 AS id FROM (SELECT DISTINCT event_type FROM events))
+SELECT id, count(*) AS n FROM events JOIN d USING (event_type) GROUP BY id""")
+def id_substitution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    d = _dictionary(spark, sf_dir)
+    return ids.substitute(e.select("event_type"), d, "type", "event_type", "id").groupBy("id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'time_hour' AS rollup_id, count(DISTINCT date_trunc('hour', ts)) AS cells FROM events UNION ALL SELECT 'time_day-type', count(DISTINCT (date_trunc('day', ts), event_type)) FROM events UNION ALL SELECT '__all__', 1")
+def rollup_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return by_rollup(fanout.build_cells(events_spec(), table(spark, sf_dir, "events")))
+
+
+@query("SELECT event_id, event_type FROM events WHERE event_type >= 'click' AND event_type < 'click' || chr(255)")
+def prefix_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A range scan by key prefix, cut at region bounds."""
+    e = table(spark, sf_dir, "events").select("event_id", "event_type").withColumn("key", F.encode("event_type", "UTF-8"))
+    return scans.scan(e, scans.prefix_scans(b"click", [b"error", b"clicj", b"purchase"])).drop("key")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
