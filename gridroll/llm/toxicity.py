@@ -23,7 +23,7 @@ from gridroll.llm.textvec import U64, flat, slices
 from gridroll.session import materialize
 
 #: Lengths of the n-grams, bits of a feature's number, standard errors that a ratio has to differ from none, labelled texts of each class that the regression is fitted to at most, and labels that may be broadcast.
-ORDERS, BITS, SURE, FIT_EACH, LABELS_BROADCAST = (4, 6), 20, 3.5, 4000, 1_000_000
+ORDERS, BITS, SURE, FIT_EACH, LABELS_BROADCAST = (4, 6), 20, 3.5, 2500, 1_000_000
 
 
 def _fold() -> np.ndarray:
@@ -71,11 +71,11 @@ def logistic(idx: np.ndarray, off: np.ndarray, y: np.ndarray, weight: np.ndarray
     """Coefficients and intercept of a ridge logistic regression on scaled binary features, by L-BFGS."""
     n_f = len(scale)
     used = np.unique(idx)
-    small = np.zeros(n_f, np.int64)
+    small = np.zeros(n_f, np.int32)
     small[used] = np.arange(len(used))
     col, s = small[idx], scale[used]
     lens = np.diff(off)
-    row = np.repeat(np.arange(len(y)), lens)
+    row = np.repeat(np.arange(len(y), dtype=np.int32), lens)
 
     def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
         z = np.bincount(row, weights=(w[:-1] * s)[col], minlength=len(y)) + w[-1]
