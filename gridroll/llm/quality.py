@@ -7,7 +7,9 @@ Continuation counts, contexts and probabilities of all orders are joins and
 aggregates of these shards, for exactly the n-grams that occur in the corpus.
 Scoring fetches each block's n-grams from the shards, or all of them where
 they are few enough to be broadcast. A text is kept if its perplexity is not
-above a quantile of the trusted texts' perplexities in its language.
+above a quantile of the trusted texts' perplexities in its language, each
+taken under a model of the other folds of trusted texts, since a model fits the
+texts it was learnt from far better than any other.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ from gridroll.llm.common import join_small, masked
 from gridroll.llm.textvec import U64, flat, slices
 from gridroll.session import materialize
 
-#: Order of the model, n-grams that may be broadcast (12 bytes each), distinct n-grams a partition holds before it passes them on, labels that may be broadcast, bins a unit of log perplexity for quantiles, bytes of text a block of the sharded way has, bytes of the language's usual text that are added to each text before it is compared.
-ORDER, BROADCAST_GRAMS, HELD, LABELS_BROADCAST, BINS, BLOCK_BYTES, PRIOR = 5, 5_000_000, 4_000_000, 1_000_000, 1000, 16 << 20, 64
+#: Order of the model, n-grams that may be broadcast (12 bytes each), distinct n-grams a partition holds before it passes them on, labels that may be broadcast, bins a unit of log perplexity for quantiles, bytes of text a block of the sharded way has, bytes of the language's usual text that are added to each text before it is compared, folds of trusted texts.
+ORDER, BROADCAST_GRAMS, HELD, LABELS_BROADCAST, BINS, BLOCK_BYTES, PRIOR, FOLDS = 5, 5_000_000, 4_000_000, 1_000_000, 1000, 16 << 20, 64, 4
 
 
 def grams(texts: pa.Array, n: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
@@ -42,35 +44,33 @@ def grams(texts: pa.Array, n: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
     return v.view(np.int64), off
 
 
-def _by_lang(b: pa.RecordBatch) -> Iterator[tuple[str, pa.RecordBatch]]:
-    langs = b.column("lang").to_pandas()
-    for lang, rows in langs.groupby(langs).indices.items():
-        yield lang, b.take(pa.array(rows))
+def _by_model(b: pa.RecordBatch) -> Iterator[tuple[tuple[str, int], pa.RecordBatch]]:
+    for key, rows in b.select(["lang", "fold"]).to_pandas().groupby(["lang", "fold"]).indices.items():
+        yield key, b.take(pa.array(rows))
 
 
 def _count(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    held: dict[str, list[pd.DataFrame]] = {}
+    """(lang, fold, g, c): the n-grams of the trusted texts of each fold; fold -1 has those of all other texts, which count nothing."""
+    held: dict[tuple[str, int], list[pd.DataFrame]] = {}
     size = 0
 
     def packed() -> Iterator[pa.RecordBatch]:
-        for lang, parts in held.items():
+        for (lang, fold), parts in held.items():
             df = pd.concat(parts).groupby("g", sort=False)["c"].sum()
             for x in range(0, len(df), 200_000):
                 s = df.iloc[x : x + 200_000]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(s), pa.string()), pa.array(s.index.to_numpy()), pa.array(s.to_numpy())], names=["lang", "g", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(s), pa.string()), pa.array(np.full(len(s), fold, np.int32)), pa.array(s.index.to_numpy()), pa.array(s.to_numpy())], names=["lang", "fold", "g", "c"])
         held.clear()
 
     for whole in batches:
         for b in slices(whole, "text"):
-            for lang, own in _by_lang(b):
-                v, off = grams(own.column("text"), n)
-                codes, keys = pd.factorize(v)
-                trusted = np.repeat(own.column("trusted").to_numpy(zero_copy_only=False).astype(np.float64), np.diff(off))
-                c = np.bincount(codes, weights=trusted, minlength=len(keys)).astype(np.int64)
-                held.setdefault(lang, []).append(pd.DataFrame({"g": keys, "c": c}))
+            for key, own in _by_model(b):
+                codes, keys = pd.factorize(grams(own.column("text"), n)[0])
+                c = np.bincount(codes, minlength=len(keys)).astype(np.int64) if key[1] >= 0 else np.zeros(len(keys), np.int64)
+                held.setdefault(key, []).append(pd.DataFrame({"g": keys, "c": c}))
                 size += len(keys)
             if size > HELD:
-                held = {lang: [pd.concat(parts).groupby("g", sort=False, as_index=False)["c"].sum()] for lang, parts in held.items()}
+                held = {key: [pd.concat(parts).groupby("g", sort=False, as_index=False)["c"].sum()] for key, parts in held.items()}
                 size = sum(len(p[0]) for p in held.values())
                 if size > HELD // 2:
                     yield from packed()
@@ -78,6 +78,13 @@ def _count(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch
     yield from packed()
 
 
+def _models(counted: DataFrame) -> DataFrame:
+    """(lang, g, c, asked) of each language's model and, under the fold's number before the language, of those that lack a fold; asked are the n-grams of the texts that the model scores."""
+    of = [F.struct("lang", F.col("c").alias("c"), F.lit(True).alias("asked"))]
+    of += [F.struct(F.concat(F.lit(str(k)), "lang").alias("lang"), (F.col("c") - F.col(f"c{k}")).alias("c"), (F.col(f"c{k}") > 0).alias("asked")) for k in range(FOLDS)]
+    return counted.select("g", F.explode(F.when(F.col("c") > 0, F.array(*of)).otherwise(F.array(of[0]))).alias("m")).select("m.lang", "g", "m.c", "m.asked").where("asked or c > 0")
+
+
 def _discounts(counts: DataFrame) -> DataFrame:
     """d1, d2, d3 of modified Kneser-Ney by language, from counts of counts; 0.5, 1 and 1.5 where these are too few."""
     n = [F.sum((F.col("c") == i).cast("double")).alias(f"n{i}") for i in (1, 2, 3, 4)]
@@ -91,12 +98,12 @@ def _discount(c: Column) -> Column:
 
 
 def probabilities(counted: DataFrame, n: int = ORDER) -> DataFrame:
-    """(lang, g, logp): the natural log probability of the last byte of every n-gram of ``counted`` (lang, g, c) given the bytes before, learnt from those with c > 0.
+    """(lang, g, logp): the natural log probability of the last byte of every n-gram of ``counted`` (lang, g, c, asked) that is asked, given the bytes before, learnt from those with c > 0.
 
     Languages without any trusted text are left out.
     """
     taught = counted.where("c > 0").select("lang").distinct()
-    asked = materialize(counted.join(F.broadcast(taught), "lang", "left_semi").select("lang", "g"))  # languages are few
+    asked = materialize(counted.where("asked").join(F.broadcast(taught), "lang", "left_semi").select("lang", "g"))  # languages are few
     own = materialize(counted.where("c > 0"))
     levels = []
     for order in range(n, 0, -1):
@@ -122,29 +129,33 @@ def probabilities(counted: DataFrame, n: int = ORDER) -> DataFrame:
 Tables = dict[str, tuple[np.ndarray, np.ndarray]]
 
 
-def _tables(lang: np.ndarray, g: np.ndarray, logp: np.ndarray) -> Tables:
+def _tables(p: pa.Table) -> Tables:
     out: Tables = {}
-    for x, rows in pd.Series(lang).groupby(lang).indices.items():
+    p = p.combine_chunks()
+    lang = p.column("lang").combine_chunks().dictionary_encode()
+    codes, g, logp = lang.indices.to_numpy(), p.column("g").to_numpy(), p.column("logp").to_numpy()
+    for i, x in enumerate(lang.dictionary.to_pylist()):
+        rows = np.flatnonzero(codes == i)
         o = rows[np.argsort(g[rows])]
         out[x] = (g[o], logp[o].astype(np.float32))
     return out
 
 
-def _scored(b: pa.RecordBatch, tables: Tables, n: int) -> np.ndarray:
-    """The mean log probability of each row's bytes; nan without bytes or model."""
+def _scored(b: pa.RecordBatch, model: str, tables: Tables, n: int) -> pa.Array:
+    """The mean log probability of each row's bytes by the model that the column ``model`` names; null without bytes or model."""
     out = np.full(b.num_rows, np.nan)
-    langs = b.column("lang").to_pandas()
+    langs = b.column(model).to_pandas()
     for lang, rows in langs.groupby(langs).indices.items():
         if lang in tables:
             keys, logp = tables[lang]
-            v, off = grams(b.column("text").take(pa.array(rows)), n)
+            v, off = grams(b.column("_text").take(pa.array(rows)), n)
             codes, own = pd.factorize(v)
             s = logp[np.minimum(np.searchsorted(keys, own), len(keys) - 1)].astype(np.float64)[codes]
             sums = np.concatenate([[0.0], np.cumsum(s)])
             lens = np.diff(off)
             with np.errstate(invalid="ignore", divide="ignore"):
                 out[rows] = np.where(lens > 0, (sums[off[1:]] - sums[off[:-1]]) / lens, np.nan)
-    return out
+    return pa.array(out, from_pandas=True)
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.985, slack: float = 1.02, order: int = ORDER, broadcast_grams: int = BROADCAST_GRAMS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality") -> DataFrame:
@@ -154,10 +165,12 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.985, slack:
     other value). Returns ``docs`` with perplexity (a byte), threshold and
     kept: the perplexity, taken together with PRIOR bytes of the language's usual
     text so that chance does not reject short texts, is at most the language's threshold, which is ``slack`` times the
-    ``quantile`` of that figure over its trusted texts. Null languages are a
-    language of their own. Null and empty texts have no perplexity and are not
+    ``quantile`` of that figure over its trusted texts. There a trusted text is
+    scored by a model of the other folds' texts; equal texts share a fold. Null
+    languages are a language of their own. Null and empty texts have no perplexity and are not
     kept; texts in a language without trusted text have none and are kept,
-    since nothing speaks against them. Equal rows get equal results. An empty
+    since nothing speaks against them, and so are those in a language whose trusted texts
+    all lie in one fold, since nothing tells how well unseen texts fit. Equal rows get equal results. An empty
     table gives an empty result. Columns of ``docs`` named like the new ones
     are replaced.
     """
@@ -168,24 +181,25 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.985, slack:
     id_col, text_col, lang_col = (hidden[c] for c in (id_col, text_col, lang_col))
     marked = join_small(docs, marks, docs[id_col] == marks["_id"], "left", LABELS_BROADCAST).drop("_id")
     lang, text = F.coalesce(F.concat(F.lit("="), F.col(lang_col)), F.lit("")), F.coalesce(F.col(text_col), F.lit(""))
-    slim = marked.select(lang.alias("lang"), text.alias("text"), F.coalesce("trusted", F.lit(False)).alias("trusted"))
-    counted = materialize(slim.mapInArrow(lambda it: _count(it, order), "lang string, g long, c long").groupBy("lang", "g").agg(F.sum("c").alias("c")))
-    p = materialize(probabilities(counted, order))
+    fold = F.when(F.col("trusted"), F.pmod(F.xxhash64(text), F.lit(FOLDS)).cast("int"))
+    slim = marked.select(lang.alias("lang"), text.alias("text"), F.coalesce(fold, F.lit(-1)).alias("fold"))
+    of = [F.sum(F.when(F.col("fold") == k, F.col("c")).otherwise(0)).alias(f"c{k}") for k in range(FOLDS)]
+    counted = materialize(slim.mapInArrow(lambda it: _count(it, order), "lang string, fold int, g long, c long").groupBy("lang", "g").agg(F.sum("c").alias("c"), *of))
+    p = materialize(probabilities(_models(counted), order))
     rest = [c for c in marked.columns]
-    full = marked.select(lang.alias("_lang"), text.alias("_text"), *rest)
-    schema = full.drop("_lang", "_text").withColumn("_mean", F.lit(None).cast("double")).schema
+    full = marked.select(lang.alias("_lang"), F.concat(fold.cast("string"), lang).alias("_fold"), text.alias("_text"), *rest)
+    schema = full.drop("_lang", "_fold", "_text").withColumns({c: F.lit(None).cast("double") for c in ("_mean", "_held")}).schema
 
-    def rename(b: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([b.column("_lang"), b.column("_text")], names=["lang", "text"])
+    def answer(b: pa.RecordBatch, tables: Tables) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), _scored(b, "_lang", tables, order), _scored(b, "_fold", tables, order)], names=[*rest, "_mean", "_held"])
 
     if p.count() <= broadcast_grams:
-        got = p.toArrow()
-        held = spark.sparkContext.broadcast(_tables(got.column("lang").to_numpy(), got.column("g").to_numpy(), got.column("logp").to_numpy()))
+        held = spark.sparkContext.broadcast(_tables(p.toArrow()))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
                 for b in slices(whole, "_text"):
-                    yield pa.RecordBatch.from_arrays([*b.columns[2:], pa.array(_scored(rename(b), held.value, order), from_pandas=True)], names=[*b.schema.names[2:], "_mean"])
+                    yield answer(b, held.value)
 
         scored = full.mapInArrow(run, schema)
     else:
@@ -196,22 +210,20 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.985, slack:
         def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
                 for b in slices(whole, "_text"):
-                    for key, rows in b.select(["_block", "_lang"]).to_pandas().groupby(["_block", "_lang"]).indices.items():
-                        g = pd.unique(grams(b.column("_text").take(pa.array(rows)), order)[0])
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), key[0])), pa.array([key[1]] * len(g), pa.string()), pa.array(g)], names=["block", "lang", "g"])
+                    for model in ("_lang", "_fold"):
+                        for key, rows in b.select(["_block", model]).to_pandas().groupby(["_block", model]).indices.items():
+                            g = pd.unique(grams(b.column("_text").take(pa.array(rows)), order)[0])
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), key[0])), pa.array([key[1]] * len(g), pa.string()), pa.array(g)], names=["block", "lang", "g"])
 
         answers = blocks.mapInArrow(ask, "block long, lang string, g long").distinct().join(p, ["lang", "g"])
 
         def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-            tables = _tables(right.column("lang").to_numpy(), right.column("g").to_numpy(), right.column("logp").to_numpy()) if right.num_rows else {}
-            out = []
-            for b in left.combine_chunks().to_batches():
-                out.append(pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), pa.array(_scored(rename(b), tables, order), from_pandas=True)], names=[*rest, "_mean"]))
-            return pa.Table.from_batches(out)
+            tables = _tables(right)
+            return pa.Table.from_batches([answer(b, tables) for b in left.combine_chunks().to_batches()])
 
         scored = blocks.groupBy("_block").cogroup(answers.groupBy("block")).applyInArrow(meet, schema)
     scored = scored.withColumn("perplexity", F.exp(-F.col("_mean"))).withColumn("_l", lang).withColumn("_n", F.coalesce(F.octet_length(text_col), F.lit(0)))
-    known = materialize(scored.where("trusted and _mean is not null").select("_l", "_mean", "_n"))
+    known = materialize(scored.where("_held is not null").select("_l", F.col("_held").alias("_mean"), "_n"))
     usual = F.broadcast(materialize(known.groupBy("_l").agg((F.sum(F.col("_mean") * F.col("_n")) / F.sum("_n")).alias("_usual"))))  # a row a language
     level = (-(F.col("_mean") * F.col("_n") + F.col("_usual") * PRIOR) / (F.col("_n") + PRIOR)).alias("_level")
     # quantiles by counting bins, exact to a bin and the same in every run

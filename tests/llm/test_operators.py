@@ -157,6 +157,25 @@ def test_quality_model(spark):
     assert abs(sum(p(b"th" + bytes([x])) for x in range(1, 256)) - 1) < 1e-9
 
 
+def test_quality_unseen(spark):
+    """Clean texts without a label stay: the threshold is that of unseen texts, not of those the model was learnt from."""
+
+    def text(seed):
+        rng = random.Random(seed)
+        return " ".join("".join(rng.choice("kslmnrtv") + rng.choice("aeiou") for _ in range(rng.randrange(1, 4))) for _ in range(60))
+
+    rng = random.Random(0)
+    junk = [(1000 + i, "".join(chr(rng.randrange(33, 127)) for _ in range(300)), "en", "s") for i in range(20)]
+    rows = [*((i, text(i), "en", "s") for i in range(100)), *junk, (2000, text(2000), "xx", "s"), (2001, text(2001), "xx", "s"), (2001, text(2001), "xx", "s")]
+    lab = spark.createDataFrame([(i, 1, 0) for i in [*range(20), 2000]], "doc_id long, quality int, toxic int")
+    for grams in (quality.BROADCAST_GRAMS, 0):
+        out = quality.classify(docs(spark, rows), lab, broadcast_grams=grams).collect()
+        assert all(r["kept"] for r in out if r["doc_id"] < 20)
+        assert sum(not r["kept"] for r in out if r["doc_id"] < 100) <= 5  # chance rejects a few
+        assert not any(r["kept"] for r in out if 1000 <= r["doc_id"] < 2000)
+        assert all(r["kept"] and r["threshold"] is None for r in out if r["lang"] == "xx")  # one trusted text tells nothing of others
+
+
 # 3
 
 PAGE = """<body><header><h1>Site</h1></header><main><article><h1>T&eacute;l</h1><p>a <b>b</b>c&nbsp; d<p>second
