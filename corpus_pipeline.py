@@ -12,6 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridroll.llm.common import WORD
 from gridroll.llm.linededup import dedup_lines
 from gridroll.llm.mixing import mix
 from gridroll.llm.ngram_join import jaccard_join
@@ -35,11 +36,17 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents the one of the smallest id stays; of rows that share an id, one stays."""
+    """Of each group of similar texts the row of the smallest id stays, rows without an id last; so does one row of each id and text without words.
+
+    Rows are told apart by a number of their own, so rows that share an id, or have none, stay if their texts differ.
+    """
     ship(spark)
-    first = jaccard_join(docs).where("doc_id is null or doc_id = component_id").select("doc_id").distinct()
-    one = docs.join(first, docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi")
-    return one.dropDuplicates(["doc_id"]).select(*COLUMNS)
+    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()))  # written, so the numbers are fixed
+    groups = jaccard_join(rows, id_col="_row").select(F.col("doc_id").alias("_row"), F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("group"))
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text", "lang", "source", "n_chars"), "_row")
+    ranked = rows.select("_row", "doc_id", F.when(~F.col("text").rlike(WORD), F.col("text")).alias("blank"), rank.alias("rank")).join(groups, "_row")
+    first = ranked.groupBy("group", F.when(F.col("group").isNull(), F.col("doc_id")), "blank").agg(F.min("rank").alias("rank")).select("rank._row")
+    return rows.join(first, "_row", "left_semi").select(*COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """The pipeline's stages take effect, in order, and the registered queries hold together."""
 
+import random
+
 import __spark_entry__
 import corpus_pipeline
 from gridroll.session import materialize, table
@@ -20,6 +22,25 @@ def test_stages(spark, data):
     assert packed.where("piece = 0").count() == mixed.count()
 
 
+def words(seed, n=40):
+    rng = random.Random(seed)
+    return " ".join(f"w{rng.randrange(10_000)}" for _ in range(n))
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_near_duplicates_by_row(spark, data):
+    """Rows without an id, and rows that share one, stay if their texts differ."""
+    texts = [(None, words(1)), (None, words(2)), (None, words(2)), (3, words(3)), (3, words(4)), (4, words(5)), (5, words(4) + " more"), (None, words(5)), (6, None), (7, None), (6, None), (None, None), (None, " "), (None, " ")]
+    df = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in texts], SCHEMA)
+    want = [(None, words(1)), (None, words(2)), (3, words(3)), (3, words(4)), (4, words(5)), (6, None), (7, None), (None, None), (None, " ")]
+    for _ in range(2):
+        got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, df, data).collect()]
+        assert sorted(got, key=repr) == sorted(want, key=repr)
+        df = df.repartition(3)
+
+
 def test_registry():
     found = __spark_entry__.queries()
     assert [n for n in range(1, 11) if not any(q.startswith(f"op{n}_") for q in found)] == [] and "pipeline" in found
