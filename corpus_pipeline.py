@@ -51,8 +51,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it: up to three times, or not at all."""
-    taken = materialize(mix(docs).select(F.col("doc_id").alias("_id"), "copies").where("copies > 0").distinct())
-    joined = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_id"]))
+    # a document's copies depend on its id and source alone
+    taken = materialize(mix(docs).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "copies").where("copies > 0").distinct())
+    joined = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_id"]) & docs["source"].eqNullSafe(taken["_source"]))
     return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 

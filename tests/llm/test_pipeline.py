@@ -1,9 +1,11 @@
 """The pipeline's stages take effect, in order, and the registered queries hold together."""
 
 import random
+from collections import Counter
 
 import __spark_entry__
 import corpus_pipeline
+from gridroll.llm.mixing import mix
 from gridroll.session import materialize, table
 
 
@@ -41,6 +43,15 @@ def test_near_duplicates_by_row(spark, data):
         df = df.repartition(3)
 
 
+def test_mixture_by_id_and_source(spark, data):
+    """A row is taken as often as its own source's share says, whatever other sources hold rows of its id."""
+    rows = [(None if i % 10 == 0 else i // 2, words(i), "en", "abc"[i % 3], 1) for i in range(120)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    copies = {(r["doc_id"], r["source"]): r["copies"] for r in mix(df).collect()}
+    taken = Counter((r["doc_id"], r["source"], r["text"]) for r in corpus_pipeline.mixture(spark, df, data).collect())
+    assert {(i, s, t): copies[i, s] for i, t, _, s, _ in rows if copies[i, s]} == taken
+
+
 def test_registry():
     found = __spark_entry__.queries()
     assert [n for n in range(1, 11) if not any(q.startswith(f"op{n}_") for q in found)] == [] and "pipeline" in found
