@@ -2,10 +2,10 @@
 
 A page is cut into lines, one a block of its layout. Markup, scripts and the
 blocks that the page itself marks as surroundings (menus, headers, footers,
-sidebars, adverts, notices, forms, comments) leave lines of no text, and so
-gaps. The text lengths summed over a sliding window of lines surge where the
+sidebars, adverts, notices, forms, comments) leave no text, lines of links count
+as gaps. The text lengths summed over a sliding window of lines surge where the
 main text begins and dive to nothing where it ends; lines between surge and
-dive are kept. Where a page marks its article, only the article's lines count,
+dive are kept, and of several such runs all from the first to the last. Where a page marks its article, only the article's lines count,
 since lengths alone cannot tell a one-line article from a one-line footer.
 """
 
@@ -140,19 +140,17 @@ def lines(page: str) -> list[tuple[str, bool, float]]:
     return out
 
 
-def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
-    """Main text of a page, its blocks joined by newlines; empty for null, empty or textless pages."""
-    if not page:
-        return ""
-    found = lines(page)
+def _body(found: list[tuple[str, bool, float]], window: int, surge: int) -> tuple[str, bool]:
+    """The main text of a page's lines, and whether the page marks it."""
     if any(inside and text for text, inside, _ in found):
-        length = [len(text) if inside else 0 for text, inside, _ in found]
-        kept = [i for i, n in enumerate(length) if n]
-        return "\n".join(found[i][0] for i in range(kept[0], kept[-1] + 1) if length[i])
-    length = [0 if share > 0.5 else len(text) for text, _, share in found]
+        return "\n".join(text for text, inside, _ in found if inside and text), True
+    # mere tag boundaries and adverts leave no line: only lines of links are gaps
+    shown = [(text, 0 if share > 0.5 else len(text)) for text, _, share in found if text]
+    length = [n for _, n in shown]
     n = len(length)
     blocks = [sum(length[i : i + window]) for i in range(n)]
-    best, at = (0, 0, 0), 0
+    runs: list[tuple[int, int, int, int]] = []  # (top, total, first, end)
+    at = 0
     while at < n:
         if not length[at]:
             at += 1
@@ -160,11 +158,17 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
         end = at  # the dive: the first line from which a whole window is empty
         while end < n and blocks[end]:
             end += 1
-        top = max(blocks[at:end])
-        total = sum(length[at:end])
-        best = max(best, (total + (1 << 40) * (top >= surge), -at, end))
+        runs.append((max(blocks[at:end]), sum(length[at:end]), at, end))
         at = end
-    return "\n".join(found[i][0] for i in range(-best[1], best[2]) if length[i])
+    surging = [r for r in runs if r[0] >= surge] or sorted(runs, key=lambda r: (-r[1], r[2]))[:1]
+    return "\n".join(shown[i][0] for i in range(surging[0][2], surging[-1][3]) if length[i]) if surging else "", False
+
+
+def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
+    """Main text of a page, its blocks joined by newlines; empty for null, empty or textless pages."""
+    if not page:
+        return ""
+    return _body(lines(page), window, surge)[0]
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:

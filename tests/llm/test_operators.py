@@ -195,6 +195,22 @@ def test_html(spark):
     assert html.extract(df.where("false")).count() == 0
 
 
+LAYOUTS = [f"<body><nav>Menu</nav>{a}<footer>f</footer></body>" for a in (
+    "<div><p>{0}</p></div><div><p>{1}</p></div><div><p>{2}</p></div>",
+    "<table><tr><td>{0}</td></tr><tr><td>{1}</td></tr><tr><td>{2}</td></tr></table>",
+    "<section><h2>{0}</h2></section><section><p>{1}</p></section><section><h2>{2}</h2></section>",
+    "<p>{0}</p><figure><img src=x></figure><p>{1}</p><div class=ad><p>Buy</p></div><p>{2}</p>",
+    "<p>{0}</p><ul><li><a>l1</a></li><li><a>l2</a></li><li><a>l3</a></li></ul><p>{1}</p><p>{2}</p>",
+)]
+
+
+@pytest.mark.parametrize("page", LAYOUTS)
+def test_html_layouts(page):
+    """Tag boundaries, figures, adverts and layout classes cost no part of a text."""
+    parts = [f"Part {i} of the text, {'long enough to make the sum of a window surge by itself, ' * 2}end." for i in range(3)]
+    assert html.main_text(page.format(*parts)) == "\n".join(parts)
+
+
 # 4
 
 
