@@ -50,6 +50,10 @@ MARKS = frozenset(
     "share sharing social related recommended recommendations comment comments commentlist reply replies respond disqus discussion pagination pager "
     "widget complementary contentinfo search form copyright disclaimer skip tags trending popular".split()
 )
+#: Those of them that never name the layout of a whole page.
+NEVER = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion cookie cookies consent gdpr popup modal newsletter related recommended recommendations comment comments commentlist reply replies respond disqus discussion".split())
+#: Words of a class or id after which the rest says what a container has or lacks, not what it is.
+QUALIFIERS = frozenset("has have no not non with without".split())
 _MAIN = frozenset(("article", "main"))
 _MAIN_ROLES = frozenset(("main", "article", "articlebody"))
 #: Tags that begin the main text again although an advert or notice before them was never closed.
@@ -60,15 +64,23 @@ def _names(attrs: str) -> set[str]:
     out: set[str] = set()
     for m in _NAME.finditer(attrs):
         value = m[2] or m[3] or m[4] or ""
-        out.update(w.lower() for w in _WORD.findall(value))
+        for part in value.split():
+            for w in _WORD.findall(part):
+                if w.lower() in QUALIFIERS:
+                    break
+                out.add(w.lower())
         if m[1].lower() in ("role", "itemprop"):
             out.add("=" + value.strip().lower())
     return out
 
 
-def lines(page: str) -> list[tuple[str, bool, float]]:
-    """The blocks of a page in order: (text, inside a marked article, share of the text that is links). Surroundings are empty lines."""
+def lines(page: str, layout: bool = False) -> list[tuple[str, bool, float]]:
+    """The blocks of a page in order: (text, inside a marked article, share of the text that is links). Surroundings are empty lines.
+
+    With ``layout``, only the class words of ``NEVER`` mark surroundings.
+    """
     out: list[tuple[str, bool, float]] = []
+    marks = NEVER if layout else MARKS
     buf: list[str] = []
     linked = 0
     stack: list[tuple[str, bool, bool]] = []  # open elements: (name, opens a surrounding, opens an article)
@@ -127,7 +139,7 @@ def lines(page: str) -> list[tuple[str, bool, float]]:
         if name == "header" and not main:
             surrounding = True
         if names and name not in ("html", "body", "head") and not (article and not names & {"comment", "comments", "reply"}):
-            surrounding = surrounding or bool(names & MARKS)
+            surrounding = surrounding or bool(names & marks)
         article = article and not surrounding and not skip
         if name == "a":
             anchors += 1
@@ -165,10 +177,18 @@ def _body(found: list[tuple[str, bool, float]], window: int, surge: int) -> tupl
 
 
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
-    """Main text of a page, its blocks joined by newlines; empty for null, empty or textless pages."""
+    """Main text of a page, its blocks joined by newlines; empty for null, empty or textless pages.
+
+    Class words that hide more text than they leave, or a marked article longer
+    than what they leave, name a layout and hide nothing; only those of ``NEVER`` do.
+    """
     if not page:
         return ""
-    return _body(lines(page), window, surge)[0]
+    text, marked = _body(lines(page), window, surge)
+    if marked:
+        return text
+    whole, marked = _body(lines(page, True), window, surge)
+    return whole if len(whole) > len(text) * (1 if marked else 2) else text
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:

@@ -201,7 +201,7 @@ LAYOUTS = [f"<body><nav>Menu</nav>{a}<footer>f</footer></body>" for a in (
     "<section><h2>{0}</h2></section><section><p>{1}</p></section><section><h2>{2}</h2></section>",
     "<p>{0}</p><figure><img src=x></figure><p>{1}</p><div class=ad><p>Buy</p></div><p>{2}</p>",
     "<p>{0}</p><ul><li><a>l1</a></li><li><a>l2</a></li><li><a>l3</a></li></ul><p>{1}</p><p>{2}</p>",
-)]
+)] + [f"<body><div class='{c}'><article><p>{{0}}</p><p>{{1}}</p><p>{{2}}</p></article></div></body>" for c in ("page has-sidebar", "no-sidebar", "post with-comments", "search-results-layout", "sidebar-left")]
 
 
 @pytest.mark.parametrize("page", LAYOUTS)
@@ -211,6 +211,14 @@ def test_html_layouts(page):
     assert html.main_text(page.format(*parts)) == "\n".join(parts)
 
 
+def test_html_surroundings():
+    """Comments and teasers stay out where class words leave more than they hide."""
+    body = "<p>" + "The text of the page. " * 20 + "</p>"
+    want = ("The text of the page. " * 20).strip()
+    assert html.main_text(f"<div>{body}</div><div class=sidebar><article>Teaser</article></div><div class=comments><article>{body}{body}{body}</article></div>") == want
+    assert html.main_text(f"<article class='post with-comments'>{body}</article><div class=related><article>{body}</article></div>") == want
+
+
 # 4
 
 
