@@ -1,15 +1,17 @@
 """Line dedup by winnowing over line hashes. Native: no Python on executors.
 
-A text is cut into lines, and lines into sentences, so that a passage set into
-a longer line is found as well; such a piece is called a line here. A gram is
+A text is cut into lines, and lines into sentences, so that whole sentences set
+into a longer line are found as well; such a piece is called a line here. What
+a passage has before its first and after its last whole sentence is not matched,
+nor is one that holds fewer than ``min_words`` words of whole sentences. A gram is
 the shortest run of lines from a given line on that has ``min_words`` words.
 Of the gram hashes, the minimum of every window is a fingerprint; grams of one
 line are always taken. Equal fingerprints are joined with their first
 occurrence, the match is extended line by line both ways, and the later run is
 deleted.
 
-With ``window`` w and ``min_words`` k, every repeated run of k + (w - 1)(k - 1)
-words or more has a fingerprint, and so has every single line of k words; no
+With ``window`` w and ``min_words`` k, every repeated run of whole lines of
+k + (w - 1)(k - 1) words or more has a fingerprint, and so has every single line of k words; no
 run of fewer than k words is deleted. Unless all grams of a run are selected,
 what an extension can still have to cover is w - 1 lines before a fingerprint
 and, after it, w - 1 lines and lines of fewer than k words together: that much
