@@ -96,6 +96,25 @@ def decode_value(data: bytes, kind: str) -> Any:
     return struct.unpack({"bigint": ">q", "int": ">i", "double": ">d"}[kind], data)[0]
 
 
+def value_bytes(col: Column, kind: str) -> Column:
+    """``encode_value`` of a column of whole numbers."""
+    if kind not in ("bigint", "int"):
+        raise ValueError(f"no column encoding of {kind}")
+    return long_bytes(col) if kind == "bigint" else int_bytes(col)
+
+
+def value_column(col: Column, kind: str) -> Column:
+    """``decode_value`` of a binary column; a value of another length than the kind's raises, null stays null."""
+    width = {"bigint": 8, "int": 4, "double": 8}[kind]
+    data = F.when(F.length(col) == width, col).when(col.isNotNull(), F.raise_error(F.concat(F.lit(f"a {kind} has {width} bytes, not "), F.length(col).cast("string"))).cast("binary"))
+    number = F.conv(F.hex(data), 16, -10).cast("bigint")
+    if kind != "double":
+        return number if kind == "bigint" else F.shiftright(F.shiftleft(number, 32), 32).cast("int")
+    exponent, fraction = F.shiftright(number, 52).bitwiseAND(F.lit(0x7FF)), number.bitwiseAND(F.lit((1 << 52) - 1))
+    size = F.when(exponent == 0x7FF, F.when(fraction == 0, F.lit(float("inf"))).otherwise(F.lit(float("nan")))).when(exponent == 0, fraction * F.pow(F.lit(2.0), F.lit(-1074.0))).otherwise((fraction + F.lit(1 << 52)) * F.pow(F.lit(2.0), exponent - 1075))
+    return F.when(number < 0, -size).otherwise(size)
+
+
 def row_key(spec: CubeSpec, cells: DataFrame, widths: dict[str, int], ids: dict[str, Column] | None = None, prefix: bytes = b"", salted: bool = False) -> Column:
     """The byte key of a cell: for every dimension in order a flag, its bucket type's number and its value.
 

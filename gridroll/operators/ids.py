@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections import OrderedDict
 from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridroll.functions.codecs import long_bytes
+from gridroll.metrics import Registry
 from gridroll.session import materialize
+from gridroll.versions import Versions
 
 
 def number(values: DataFrame, start: int = 0) -> DataFrame:
@@ -65,6 +68,65 @@ def extend(dictionary: DataFrame, values: DataFrame, widths: dict[str, int] | No
     return out
 
 
+class IdStore:
+    """A dictionary in files that any number of writers extend; no two coordinates get one id, and no coordinate two.
+
+    Each version names the folders with its ids and the next free number of
+    each dimension. A writer numbers the coordinates that the newest version
+    lacks and publishes the next version by compare-and-set; one that was
+    overtaken numbers anew, so that no id is wasted either. ``widths`` has the
+    bytes of an id by dimension; a dimension that outgrows its width raises and
+    nothing is written.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, widths: dict[str, int] | None = None, start: int = 0, tries: int = 10, retry_seconds: float = 0.5, metrics: Registry | None = None):
+        self.spark, self.path, self.widths, self.start = spark, path.rstrip("/"), widths or {}, start
+        self.tries, self.retry_seconds, self.metrics = tries, retry_seconds, metrics or Registry("ids")
+        self.versions = Versions(spark, self.path)
+        self.metrics.gauge("nextIds", lambda: self._held().get("next", {}))
+
+    def _held(self) -> dict:
+        last = self.versions.last
+        return self.versions.read(last) if last else {"folders": [], "next": {}}
+
+    def _read(self, folders: Sequence[str]) -> DataFrame:
+        schema = "dim string, coordinate string, id long"
+        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{f}" for f in folders]) if folders else self.spark.createDataFrame([], schema)
+
+    def dictionary(self) -> DataFrame:
+        """(dim, coordinate, id) of the newest version; coordinates as strings."""
+        return self._read(self._held()["folders"])
+
+    def extend(self, values: DataFrame) -> DataFrame:
+        """Give ids to the coordinates of ``values`` (dim, coordinate) that have none; returns the dictionary. Nulls get none."""
+        wanted = materialize(values.select("dim", F.col("coordinate").cast("string").alias("coordinate")).where("dim is not null and coordinate is not null").distinct())
+
+        def change(held: dict, version: int) -> dict | None:
+            new = number(wanted.join(self._read(held["folders"]), ["dim", "coordinate"], "left_anti"))
+            counts = {r["dim"]: r["n"] for r in new.groupBy("dim").agg(F.count("*").alias("n")).collect()}  # a row a dimension
+            if not counts:
+                return None
+            after = {d: held["next"].get(d, self.start) + n for d, n in counts.items()}
+            for d, n in after.items():
+                if d in self.widths and n - self.start > 1 << (8 * self.widths[d]):
+                    raise OverflowError(f"the ids of dimension {d!r} do not fit into {self.widths[d]} bytes")
+            base = self.spark.createDataFrame([(d, held["next"].get(d, self.start)) for d in counts], "dim string, base long")
+            folder = f"data/{uuid.uuid4().hex[:12]}"
+            new.join(F.broadcast(base), "dim").select("dim", "coordinate", (F.col("id") + F.col("base")).alias("id")).write.parquet(f"{self.path}/{folder}")
+            return {"folders": [*held["folders"], folder], "next": {**held["next"], **after}}
+
+        with self.metrics.timer("idSeconds"):
+            self.versions.commit(change, {"folders": [], "next": {}}, self.tries, self.retry_seconds, self.metrics)
+        return self.dictionary()
+
+    def find(self, dim: str, coordinate: Any) -> int | None:
+        """The id of one coordinate, or None; nothing is added."""
+        return finder(self.dictionary())(dim, str(coordinate))
+
+    def get_or_create(self, dim: str, coordinate: Any) -> int:
+        return finder(self.extend(self.spark.createDataFrame([(dim, str(coordinate))], "dim string, coordinate string")))(dim, str(coordinate))
+
+
 def id_bytes(col: Column, width: int) -> Column:
     """An id as ``width`` bytes, big-endian."""
     if not 1 <= width <= 7:

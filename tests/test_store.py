@@ -14,9 +14,9 @@ from gridroll.operators import backfill, ids
 from gridroll.operators.fanout import build_cells
 from gridroll.operators.merge import INCREMENT, OVERWRITE, READ_COMBINE_CAS
 from gridroll.sources.points import stream
-from gridroll.sources.scans import KeyRange, prefix_scans, scan
+from gridroll.sources.scans import KeyRange, packed, parsed, prefix_scans, scan, split_keys
 from gridroll.spec import CubeSpec, Dimension, Read, Rollup
-from gridroll.store import CellStore, MemoryStore, StoreConfig
+from gridroll.store import CellStore, MemoryStore, Store, StoreConfig
 from gridroll.streaming.io import AsyncException, Batch, CubeIO
 from gridroll.streaming.writer import BATCH_ASYNC, BATCH_SYNC, FULL_SYNC, write_stream
 
@@ -95,6 +95,86 @@ def test_batch_ids_and_concurrency(spark, tmp_path):
     assert not errors and value(store.get(at("a"))) == 9
 
 
+def test_torn_manifest_is_never_seen(spark, tmp_path):
+    """A writer that dies before its version has a name leaves the store as it was."""
+    store = CellStore(spark, str(tmp_path), ZIP)
+    store.merge(cells(spark, (T, "a", 1)))
+    for crash in ("write", "name"):
+        dying = CellStore(spark, str(tmp_path), ZIP, StoreConfig(tries=1))
+        if crash == "name":
+            dying.versions._name = lambda *_: (_ for _ in ()).throw(RuntimeError("killed"))
+        else:
+            (tmp_path / "zip/_manifests/.aside").write_text('{"rol')
+            continue
+        with pytest.raises(RuntimeError):
+            dying.merge(cells(spark, (T, "a", 1)))
+    assert store.version == 1 and value(store.get(at("a"))) == 1
+    assert not store.versions.publish(1, {}) and store.versions.publish(2, store.manifest(1))
+
+
+@pytest.mark.parametrize("commit", [INCREMENT, OVERWRITE])
+def test_int_keys(spark, tmp_path, commit):
+    """Key types are those of the first values, whichever way they come."""
+    spec = CubeSpec("n", [Dimension("k", b.integer(), "k"), Dimension("z", b.string(), "z")], [R("k"), R("k", "z")], [ms.count("n")])
+    rows = build_cells(spec, spark.createDataFrame([(1, "a"), (1, "b"), (2, "a")], "k int, z string"))
+    first = CellStore(spark, str(tmp_path / "1"), spec, StoreConfig(commit=commit))
+    first.merge(rows)
+    first.merge(rows)
+    assert first.get(Read(spec).at("k", 1))["n"] == (2 if commit == OVERWRITE else 4) and dict(first.cells().dtypes)["k__identity"] == "int"
+    later = CellStore(spark, str(tmp_path / "2"), spec, StoreConfig(commit=commit))
+    later.set(Read(spec).at("k", 9), 100)
+    later.merge(rows)
+    later.set(Read(spec).at("k", 1).at("z", "a"), 50)
+    got = later.multi_get([Read(spec).at("k", 9), Read(spec).at("k", 1), Read(spec).at("k", 1).at("z", "a"), Read(spec).at("k", 2).at("z", "a")])
+    assert [r["n"] for r in got] == [100, 2, 50, 1] and later.cells().count() == 6
+
+
+def test_callback_cannot_fail_a_commit(spark, tmp_path):
+    def boom(df):
+        raise RuntimeError("callback")
+
+    seen = []
+    store = CellStore(spark, str(tmp_path), ZIP, on_flush=boom, after_execute=seen.append)
+    store.merge(cells(spark, (T, "a", 1)))
+    assert value(store.get(at("a"))) == 1 and seen == [None] and store.metrics.counts["callbackFailures"] == 1
+    memory = MemoryStore(spark, ZIP, on_flush=boom)
+    assert memory.merge(cells(spark, (T, "a", 1))) == 1
+
+
+def test_io_retry(spark, tmp_path):
+    """Storage that fails now and then costs tries; a commit that went through before the error counts once."""
+    store = CellStore(spark, str(tmp_path), ZIP, StoreConfig(retry_seconds=0.01))
+    left, write, publish = [2], store._write, store.versions.publish
+
+    def flaky(df):
+        if left[0]:
+            left[0] -= 1
+            raise OSError("disk")
+        return write(df)
+
+    store._write = flaky
+    assert store.merge(cells(spark, (T, "a", 1))) == 1 and store.metrics.counts["ioRetries"] == 2
+
+    def lost_answer(version, content):
+        publish(version, content)
+        store.versions.publish = publish
+        raise OSError("answer lost")
+
+    store.versions.publish = lost_answer
+    assert store.merge(cells(spark, (T, "a", 5))) == 2 and value(store.get(at("a"))) == 6
+    left[0] = 99
+    with pytest.raises(OSError):
+        store.merge(cells(spark, (T, "a", 1)))
+    assert store.metrics.counts["flushFailures"] == 1 and left[0] == 99 - store.config.tries
+    left[0] = 0
+    bad = cells(spark, (T, "a", 1)).withColumn("value", F.raise_error(F.lit("no")).cast("long"))
+    with pytest.raises(Exception, match="no"):  # not an error of storage: one try
+        store.merge(bad)
+    assert isinstance(store, Store) and isinstance(MemoryStore(spark, ZIP), Store)
+    name = "gridroll:type=zip,name="
+    assert store.metrics.report()[name + "batchCells"]["n"] >= 2 and store.metrics.report()[name + "casTries"]["max"] == 1
+
+
 def test_memory_store_commits(spark):
     with pytest.raises(ValueError):
         MemoryStore(spark, ZIP, INCREMENT)
@@ -219,6 +299,25 @@ def test_ids(spark):
     assert spark.range(1).select(ids.id_bytes(F.lit(258), 5)).first()[0] == bytes([0, 0, 0, 1, 2])
 
 
+def test_id_store(spark, tmp_path):
+    """Writers that start from the same version give no id twice; ids stay; an exhausted dimension raises and stays as it was."""
+    stores = [ids.IdStore(spark, str(tmp_path), {"narrow": 1}, start=1, tries=50, retry_seconds=0.05) for _ in range(3)]
+    values = lambda names, dim="d": spark.createDataFrame([(dim, x) for x in names], "dim string, coordinate string")
+    parts = [[f"v{i}" for i in range(k, k + 20)] + [None] for k in (0, 10, 20)]
+    threads = [threading.Thread(target=lambda s=s, p=p: s.extend(values(p))) for s, p in zip(stores, parts, strict=True)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    got = {r["coordinate"]: r["id"] for r in stores[0].dictionary().collect()}
+    assert sorted(got) == sorted(f"v{i}" for i in range(40)) and sorted(got.values()) == list(range(1, 41))
+    assert {r["coordinate"]: r["id"] for r in stores[1].extend(values(["v3", "w"])).collect()} == got | {"w": 41}
+    assert stores[2].find("d", "w") == 41 and stores[2].find("d", "x") is None and stores[2].get_or_create("d", "w") == 41
+    stores[0].extend(values(range(256), "narrow"))
+    for _ in range(2):
+        with pytest.raises(OverflowError):
+            stores[0].extend(values(["one more"], "narrow"))
+    assert stores[0].dictionary().where("dim = 'narrow'").count() == 256
+
+
 def test_cached_lookup():
     asked = []
     find = lambda d, c: asked.append(c) or (None if c == "no" else len(c))
@@ -266,6 +365,26 @@ def test_scans(spark):
     assert KeyRange(b"a", b"b").predicate(F.col("key")) is not None
 
 
+def test_split_keys_and_parsers(spark):
+    rows = [(bytes([k]), codecs.encode_value(k - 100, "bigint") + codecs.encode_value(-k, "int") + codecs.encode_value(k / 7 - 3, "double")) for k in range(200)]
+    df = spark.createDataFrame(rows, "key binary, value binary")
+    splits = split_keys(df, 4)
+    sizes = [scan(df, [r]).count() for r in prefix_scans(b"", splits)]
+    assert len(splits) == 3 and sum(sizes) == 200 and max(sizes) < 150
+    assert split_keys(df.where("false"), 4) == []
+    three = CubeSpec("p", [Dimension("k", b.long(), "k")], [R("k")], [ms.long_sum("a"), ms.int_sum("b"), ms.double_sum("c")])
+    got = parsed(three, df, packed()).orderBy("key").collect()
+    assert [(r["a"], r["b"], r["c"]) for r in got] == [(k - 100, -k, k / 7 - 3) for k in range(200)]
+    one = CubeSpec("p", [Dimension("k", b.long(), "k")], [R("k")], [ms.double_sum("c")])
+    odd = [0.0, -0.0, float("inf"), -1e-310, 1.7e308]
+    back = parsed(one, spark.createDataFrame([(i, codecs.encode_value(x, "double")) for i, x in enumerate(odd)] + [(9, None)], "i int, value binary")).orderBy("i").collect()
+    assert [r["c"] for r in back] == [*odd, None]
+    with pytest.raises(ValueError):
+        parsed(three, df)
+    with pytest.raises(Exception, match="bytes"):
+        parsed(one, spark.createDataFrame([(b"xx",)], "value binary")).collect()
+
+
 def test_metrics(spark):
     r = Registry("x")
     with r.timer("t"):
