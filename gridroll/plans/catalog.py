@@ -5,6 +5,8 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +19,8 @@ from gridroll.operators import backfill, fanout, ids, merge, reads
 from gridroll.session import shared_dir, table
 from gridroll.sources import points, scans
 from gridroll.spec import CubeSpec, Dimension, Read, Rollup
-from gridroll.store import CellStore, StoreConfig
+from gridroll.store import CellStore, MemoryStore, StoreConfig
+from gridroll.streaming.io import CubeIO
 from gridroll.streaming.writer import BATCH_SYNC, write_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -292,12 +295,12 @@ def hash_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", codecs.hash_byte(codecs.int_bytes(F.col("p_partkey"))).alias("byte"))
 
 
-@query("SELECT '01' || printf('%016x', user_id) || CASE WHEN t IS NULL THEN '' ELSE '01' || lower(hex(t[1:4])) END AS key, count(*) AS n FROM (SELECT user_id, NULL::VARCHAR AS t FROM events UNION ALL SELECT user_id, event_type FROM events) GROUP BY 1")
+@query("SELECT '01' || printf('%016x', user_id) || CASE WHEN t IS NULL THEN '' ELSE '01' || lower(hex(rpad(t, 8, ' '))) END AS key, count(*) AS n FROM (SELECT user_id, NULL::VARCHAR AS t FROM events UNION ALL SELECT user_id, event_type FROM events) GROUP BY 1")
 def row_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Byte keys of cells; a wildcard at the end leaves no trace."""
-    spec = CubeSpec("keys", [Dimension("user", b.long(), "user_id"), Dimension("type", b.string(), F.substring("event_type", 1, 4))], [R("user"), R("user", "type")], [ms.count("n")])
+    """Byte keys of cells, the types padded to their widest, 8 bytes; a wildcard at the end leaves no trace."""
+    spec = CubeSpec("keys", [Dimension("user", b.long(), "user_id"), Dimension("type", b.string(), F.rpad("event_type", 8, " "))], [R("user"), R("user", "type")], [ms.count("n")])
     cells = fanout.build_cells(spec, table(spark, sf_dir, "events"))
-    return cells.select(F.lower(F.hex(codecs.row_key(spec, cells, {"user": 8, "type": 4}))).alias("key"), "n")
+    return cells.select(F.lower(F.hex(codecs.row_key(spec, cells, {"user": 8, "type": 8}))).alias("key"), "n")
 
 
 _FLAT = ["time__hour", "time__day", "type__identity", "n", "cents"]
@@ -365,6 +368,143 @@ def prefix_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.scan(e, scans.prefix_scans(b"click", [b"error", b"clicj", b"purchase"])).drop("key")
 
 
+def _store(spark: SparkSession, spec: CubeSpec, **config: object) -> CellStore:
+    return CellStore(spark, f"{shared_dir(spark)}/stores/{uuid.uuid4().hex}", spec, StoreConfig(**config))
+
+
+@query("SELECT l_linenumber AS line__identity, count(*) AS n FROM lineitem WHERE l_orderkey % 2 = 1 GROUP BY 1 UNION ALL SELECT 1000, 5")
+def store_overwrite_int(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An overwriting store with 32-bit keys: two batches, of which the later stays, and a cell that is set."""
+    spec = CubeSpec("lines", [Dimension("line", b.integer(), "l_linenumber")], [R("line")], [ms.count("n")])
+    store, rows = _store(spark, spec, commit=merge.OVERWRITE), table(spark, sf_dir, "lineitem")
+    for half in (0, 1):
+        store.merge(fanout.build_cells(spec, rows.where(F.col("l_orderkey") % 2 == half)))
+    store.set(Read(spec).at("line", 1000), 5)
+    return store.cells().select("line__identity", "n")
+
+
+@query("SELECT CAST(p_size AS BIGINT) AS size__identity, count(*) AS n FROM part GROUP BY 1 UNION ALL SELECT 1000, 7")
+def store_set_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cell set in an empty store, whose key type holds for what is merged later."""
+    spec = CubeSpec("sizes", [Dimension("size", b.integer(), "p_size")], [R("size")], [ms.count("n")])
+    store = _store(spark, spec)
+    store.set(Read(spec).at("size", 1000), 7)
+    store.merge(fanout.build_cells(spec, table(spark, sf_dir, "part")))
+    return store.cells().select("size__identity", "n")
+
+
+@query(_SQL["merge_increment"])
+def memory_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = events_spec()
+    store = MemoryStore(spark, spec)
+    for half in _halves(spark, sf_dir, spec):
+        store.merge(half)
+    return plain(store.cells(), *_FLAT)
+
+
+@query(_SQL["merge_increment"])
+def store_compare_and_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two writers that hold the same version: the one that is overtaken commits on top of the other."""
+    spec = events_spec()
+    at = f"{shared_dir(spark)}/stores/{uuid.uuid4().hex}"
+    even, odd = _halves(spark, sf_dir, spec)
+    stores = [CellStore(spark, at, spec, StoreConfig(commit=merge.READ_COMBINE_CAS, cas_tries=50, retry_seconds=0.05)) for _ in range(2)]
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(lambda sd: sd[0].merge(sd[1]), zip(stores, (even, odd), strict=True)))
+    return plain(stores[0].cells(), *_FLAT)
+
+
+@query("SELECT CASE user_id % 2 WHEN 0 THEN 'even' ELSE 'odd' END AS cube, user_id AS user__identity, count(*) AS n FROM events GROUP BY 1, 2")
+def cube_namespaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two cubes under one path keep to themselves."""
+    at = f"{shared_dir(spark)}/stores/{uuid.uuid4().hex}"
+    out = []
+    for name, rest in (("even", 0), ("odd", 1)):
+        spec = CubeSpec(name, [Dimension("user", b.long(), "user_id")], [R("user")], [ms.count("n")])
+        store = CellStore(spark, at, spec)
+        store.merge(fanout.build_cells(spec, table(spark, sf_dir, "events").where(F.col("user_id") % 2 == rest)))
+        out.append(store.cells().select("cube", "user__identity", "n"))
+    return out[0].unionByName(out[1])
+
+
+@query("SELECT l_returnflag AS flag__identity, count(*) AS n FROM lineitem GROUP BY 1")
+def raw_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells that were made elsewhere go past the bucketers."""
+    spec = CubeSpec("flags", [Dimension("flag", b.string(), "l_returnflag")], [R("flag")], [ms.count("n")])
+    made = table(spark, sf_dir, "lineitem").groupBy(F.lit("flag").alias("rollup_id"), F.col("l_returnflag").alias("flag__identity")).agg(F.count("*").alias("n"))
+    return points.raw_cells(spec, made).select("flag__identity", "n")
+
+
+@query("SELECT r_name AS region__identity, count(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
+def point_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Point by point through the batching writer: the 25 nations, a batch of ten cells at a time."""
+    spec = CubeSpec("regions", [Dimension("region", b.string(), "r_name")], [R("region")], [ms.count("n")])
+    store = _store(spark, spec)
+    io = CubeIO(spark, store, {"region__identity": "string"}, BATCH_SYNC, batch_size=3)
+    nations = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    for r in nations.select("r_name").collect():  # nation has a fixed, small number of rows
+        io.write_sync(1, at={"region": r["r_name"]})
+    io.shutdown()
+    return store.cells().select("region__identity", "n")
+
+
+@query("SELECT r_name AS region__identity, count(*) AS n FROM region GROUP BY 1")
+def collection_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A collection in memory as input, an item a partition."""
+    spec = CubeSpec("regions", [Dimension("region", b.string(), "name")], [R("region")], [ms.count("n")])
+    items = [r["r_name"] for r in table(spark, sf_dir, "region").select("r_name").collect()]  # region has a fixed, small number of rows
+    return fanout.build_cells(spec, points.collection(spark, items, "name string")).select("region__identity", "n")
+
+
+@query("""WITH e AS (SELECT event_type AS t, CASE event_type WHEN 'view' THEN 'look' WHEN 'click' THEN 'look' WHEN 'purchase' THEN 'buy' END AS g FROM events)
+SELECT 'type_kind' AS rollup_id, t AS type__kind, NULL::VARCHAR AS type__group, count(*) AS n FROM e GROUP BY t
+UNION ALL SELECT 'type_group', NULL, g, count(*) FROM e WHERE g IS NOT NULL GROUP BY g""")
+def hierarchy_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hierarchy by a fixed map; what it lacks has no cell on that level."""
+    kinds = b.Hierarchy("kind", group={"view": "look", "click": "look", "purchase": "buy"})
+    spec = CubeSpec("kinds", [Dimension("type", kinds, "event_type")], [R(("type", "kind")), R(("type", "group"))], [ms.count("n")])
+    return plain(fanout.build_cells(spec, table(spark, sf_dir, "events")), "type__kind", "type__group", "n")
+
+
+@query("SELECT user_id AS user__identity, CAST(max(round(value * 100)) AS BIGINT) AS top FROM events GROUP BY 1")
+def custom_measure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A measure of the user's own, the largest value, merged from two batches."""
+    top = ms.Measure("top", "bigint", lambda: F.max(cents()), F.max, F.greatest, lambda a, c: a, max)
+    spec = CubeSpec("tops", [Dimension("user", b.long(), "user_id")], [R("user")], [top])
+    return merge.increment(spec, *_halves(spark, sf_dir, spec)).select("user__identity", "top")
+
+
+@query("SELECT user_id AS user__identity, count(*) AS n FROM events GROUP BY 1")
+def result_parser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells whose measure is stored as bytes, parsed back."""
+    spec = CubeSpec("users", [Dimension("user", b.long(), "user_id")], [R("user")], [ms.count("n")])
+    cells = fanout.build_cells(spec, table(spark, sf_dir, "events"))
+    stored = cells.select("user__identity", codecs.value_bytes(F.col("n"), "bigint").alias("value"))
+    return scans.parsed(spec, stored).select("user__identity", "n")
+
+
+@query("SELECT count(*) AS n, count(DISTINCT event_id) AS ids FROM events")
+def split_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scans between derived split keys read every row once."""
+    e = table(spark, sf_dir, "events").select("event_id", codecs.long_bytes(F.col("event_id")).alias("key"))
+    parts = [scans.scan(e, [r]) for r in scans.prefix_scans(b"", scans.split_keys(e, 4))]
+    return reduce(DataFrame.unionByName, parts).agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("ids"))
+
+
+@query("""SELECT dim, count(*) AS n, count(DISTINCT id) AS ids, max(id) AS top FROM (
+  SELECT 'type' AS dim, dense_rank() OVER (ORDER BY event_type) AS id FROM (SELECT DISTINCT event_type FROM events)
+  UNION ALL SELECT 'user', dense_rank() OVER (ORDER BY user_id) FROM (SELECT DISTINCT user_id FROM events)) GROUP BY dim""")
+def id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Durable ids from 1, given by two writers at once; one of them asks again for what has ids."""
+    at = f"{shared_dir(spark)}/ids/{uuid.uuid4().hex}"
+    e = table(spark, sf_dir, "events")
+    values = lambda rows: rows.select(F.lit("type").alias("dim"), F.col("event_type").alias("coordinate")).unionByName(rows.select(F.lit("user").alias("dim"), F.col("user_id").cast("string").alias("coordinate")))
+    stores = [ids.IdStore(spark, at, start=1, tries=50, retry_seconds=0.05) for _ in range(2)]
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(lambda s: s[0].extend(values(e.where(s[1]))), zip(stores, ("event_id % 3 < 2", "event_id % 3 > 0"), strict=True)))
+    return stores[0].extend(values(e)).groupBy("dim").agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"), F.max("id").alias("top"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
