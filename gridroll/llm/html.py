@@ -2,11 +2,13 @@
 
 A page is cut into lines, one a block of its layout. Markup, scripts and the
 blocks that the page itself marks as surroundings (menus, headers, footers,
-sidebars, adverts, notices, forms, comments) leave no text, lines of links count
-as gaps. The text lengths summed over a sliding window of lines surge where the
-main text begins and dive to nothing where it ends; lines between surge and
-dive are kept, and of several such runs all from the first to the last. Where a page marks its article, only the article's lines count,
-since lengths alone cannot tell a one-line article from a one-line footer.
+sidebars, adverts, notices, forms, comments) leave no text. Each line has a
+length: its characters, or none if it mostly is links, or if the page marks its
+article and the line lies outside it, since lengths alone cannot tell a one-line
+article from a one-line footer. The lengths summed over a sliding window of
+lines surge where the main text begins and dive to nothing where it ends; lines
+between surge and dive are kept, and of several such runs all from the first to
+the last. On every page the runs of this distribution are the result.
 """
 
 from __future__ import annotations
@@ -20,7 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridroll.llm.common import masked
-from gridroll.llm.textvec import slices
+from gridroll.llm.textvec import slices, trimmed
+from gridroll.session import ship
 
 #: Window of lines, and the window sum in characters that counts as a surge.
 WINDOW, SURGE = 3, 86
@@ -152,28 +155,41 @@ def lines(page: str, layout: bool = False) -> list[tuple[str, bool, float]]:
     return out
 
 
-def _body(found: list[tuple[str, bool, float]], window: int, surge: int) -> tuple[str, bool]:
-    """The main text of a page's lines, and whether the page marks it."""
-    if any(inside and text for text, inside, _ in found):
-        return "\n".join(text for text, inside, _ in found if inside and text), True
-    # mere tag boundaries and adverts leave no line: only lines of links are gaps
-    shown = [(text, 0 if share > 0.5 else len(text)) for text, _, share in found if text]
-    length = [n for _, n in shown]
+def lengths(found: list[tuple[str, bool, float]]) -> tuple[list[tuple[str, int]], bool]:
+    """(text, length) of a page's lines that have text, and whether the page marks its article."""
+    marked = any(inside and text for text, inside, _ in found)
+    # mere tag boundaries and adverts leave no line
+    return [(text, len(text) if (inside if marked else share <= 0.5) else 0) for text, inside, share in found if text], marked
+
+
+def runs(length: list[int], window: int = WINDOW) -> list[tuple[int, int, int, int]]:
+    """(highest window sum, total length, first line, line after the last) of each run from a surge to its dive.
+
+    A run begins at the first line that has a length and ends before the first
+    one from which a whole window has none.
+    """
     n = len(length)
     blocks = [sum(length[i : i + window]) for i in range(n)]
-    runs: list[tuple[int, int, int, int]] = []  # (top, total, first, end)
+    out: list[tuple[int, int, int, int]] = []
     at = 0
     while at < n:
         if not length[at]:
             at += 1
             continue
-        end = at  # the dive: the first line from which a whole window is empty
+        end = at
         while end < n and blocks[end]:
             end += 1
-        runs.append((max(blocks[at:end]), sum(length[at:end]), at, end))
+        out.append((max(blocks[at:end]), sum(length[at:end]), at, end))
         at = end
-    surging = [r for r in runs if r[0] >= surge] or sorted(runs, key=lambda r: (-r[1], r[2]))[:1]
-    return "\n".join(shown[i][0] for i in range(surging[0][2], surging[-1][3]) if length[i]) if surging else "", False
+    return out
+
+
+def _body(found: list[tuple[str, bool, float]], window: int, surge: int) -> tuple[str, bool]:
+    """The main text of a page's lines, and whether the page marks it. All runs of a marked article count as surging; where none surges, the longest run does (the first of equals)."""
+    shown, marked = lengths(found)
+    all_runs = runs([n for _, n in shown], window)
+    surging = [r for r in all_runs if marked or r[0] >= surge] or sorted(all_runs, key=lambda r: (-r[1], r[2]))[:1]
+    return "\n".join(text for text, n in shown[surging[0][2] : surging[-1][3]] if n) if surging else "", marked
 
 
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
@@ -208,6 +224,7 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
                 text = [main_text(x) for x in b.column("_page").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(text, pa.string()), pa.array([len(x) for x in text], pa.int64())], names=[*b.schema.names[1:], "text", "n_chars"])
 
+    ship(pages.sparkSession)
     slim = pages.select(F.col(hidden[html_col]).cast("string").alias("_page"), *rest.values())
     schema = slim.drop("_page").withColumn("text", F.lit("")).withColumn("n_chars", F.lit(0).cast("long")).schema
-    return slim.mapInArrow(run, schema).toDF(*rest, "text", "n_chars")
+    return slim.mapInArrow(lambda it: trimmed(run(it)), schema).toDF(*rest, "text", "n_chars")
