@@ -4,7 +4,8 @@ Only the histogram of piece lengths (at most ``size`` rows) reaches the driver.
 There, patterns of few pieces that fill a sequence are enumerated on a coarse
 grid, their repeat counts fitted to the histogram by non-negative least
 squares and rounded, filled with exact lengths, and what is left over goes
-best-fit into the gaps, longest first. All steps work on counts of equal
+best-fit into the gaps, longest first. Short pieces stay out of the patterns,
+since they are what closes the gaps of the rest. All steps work on counts of equal
 pieces, so their cost depends on ``size`` and not on the number of documents.
 The plan then says where the r-th piece of each length goes, and every
 executor looks its pieces up in it.
@@ -24,8 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridroll.llm.textvec import flat, slices, word_hashes, words
-from gridroll.session import materialize
+from gridroll.llm.textvec import U64, flat, slices, trimmed, word_hashes, words
+from gridroll.session import materialize, ship
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 600) -> np.ndarray:
@@ -93,17 +94,27 @@ def filled(pattern: tuple[int, ...], left: np.ndarray, grain: int, size: int) ->
     return taken if sum(taken) == size else []
 
 
-#: Grids (classes of lengths, most pieces in a pattern, share of the fitted repeats that is used) that ``plan`` tries.
-GRIDS = ((64, 3, 1.0), (32, 4, 1.0), (64, 3, 0.5), (32, 4, 0.5), (64, 3, 0.25))
+#: Grids (classes of lengths, most pieces in a pattern, parts of a sequence below one of which a piece is short) that ``plan`` tries in turn.
+GRIDS = ((32, 4, 64), (64, 3, 32), (64, 3, 16), (16, 5, 32), (32, 4, 16), (64, 3, 8), (32, 4, 8), (16, 5, 8))
 
 
 def plan(histogram: dict[int, int], size: int = 2048) -> list[tuple[int, tuple[int, ...]]]:
-    """The plan with the fewest sequences among those that the grids give (the first of equals)."""
-    return min((plan_on(histogram, size, *g) for g in GRIDS), key=lambda p: sum(times for times, _ in p))
+    """The plan with the fewest sequences among those that the grids give (the first of equals); the first that needs no more than all tokens fill ends the search."""
+    least = -(-sum(k * v for k, v in histogram.items()) // size)
+    best: list[tuple[int, tuple[int, ...]]] | None = None
+    n_best = 0
+    for g in GRIDS:
+        found, _ = plan_on(histogram, size, *g)
+        n = sum(times for times, _ in found)
+        if best is None or n < n_best:
+            best, n_best = found, n
+        if n_best == least:
+            break
+    return best or []
 
 
-def plan_on(histogram: dict[int, int], size: int, units: int, most: int, share: float) -> list[tuple[int, tuple[int, ...]]]:
-    """Sequences as (how many, lengths in order) that use every piece of ``histogram`` (length: count) once."""
+def plan_on(histogram: dict[int, int], size: int, units: int, most: int, short: int) -> tuple[list[tuple[int, tuple[int, ...]]], int]:
+    """Sequences as (how many, lengths in order) that use every piece of ``histogram`` (length: count) once, and how many of them patterns fill."""
     left = np.zeros(size + 1, np.int64)
     for k, v in histogram.items():
         left[k] = v
@@ -111,6 +122,9 @@ def plan_on(histogram: dict[int, int], size: int, units: int, most: int, share:
     if left[size]:
         done.append((int(left[size]), (size,)))
         left[size] = 0
+    spare = left.copy()
+    spare[size // short + 1 :] = 0
+    left -= spare
     grain = -(-size // units)
     of = -(-np.arange(size + 1) // grain)  # the class of a length, rounded up
     counts = np.bincount(of, weights=left, minlength=units + 1)[1 : units + 1]
@@ -120,10 +134,8 @@ def plan_on(histogram: dict[int, int], size: int, units: int, most: int, share:
         for u in p:
             a[u - 1, j] += 1
     scale = max(1.0, counts.max(initial=0))
-    repeat = np.floor(nnls(a, counts / scale) * scale * share + 1e-6).astype(np.int64) if left.any() else np.zeros(len(pats), np.int64)
-    opened: dict[int, list[list]] = {}  # gap: [how many, lengths]
-
-
+    repeat = np.floor(nnls(a, counts / scale) * scale + 1e-6).astype(np.int64) if left.any() else np.zeros(len(pats), np.int64)
+    by_pattern = 0
     for j in np.argsort([-max(p) for p in pats], kind="stable"):
         while repeat[j] > 0:
             taken = filled(pats[j], left, grain, size)
@@ -134,8 +146,10 @@ def plan_on(histogram: dict[int, int], size: int, units: int, most: int, share:
             left -= times * need
             repeat[j] -= times
             done.append((times, tuple(taken)))
+            by_pattern += times
+    left += spare
+    opened: dict[int, list[list]] = {}  # gap: [how many, lengths]
     gaps = np.zeros(size + 1, bool)
-    gaps[[g for g in opened]] = True
     for l in range(size, 0, -1):
         n = int(left[l])
         while n:
@@ -159,7 +173,7 @@ def plan_on(histogram: dict[int, int], size: int, units: int, most: int, share:
             gaps[g] = bool(opened[g])
             gaps[g - l] = True
             n -= m
-    return done + [(t, ls) for found in opened.values() for t, ls in found if t]
+    return done + [(t, ls) for found in opened.values() for t, ls in found if t], by_pattern
 
 
 class WordTokenizer:
@@ -170,28 +184,29 @@ class WordTokenizer:
     space, tab, line feed and carriage return are taken as bounds here; words
     made of Latin letters followed by other ASCII signs are split once more
     where the tokenizer splits them. Everything else is left to the tokenizer.
-    The memory is bounded by ``most`` words; beyond, it starts anew.
+    The memory is bounded by ``most`` words, which are told apart by 64-bit
+    hashes; beyond, it starts anew.
     """
 
     _SEP = 49407
     _SIMPLE = regex.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
-    def __init__(self, path: str, most: int = 1_500_000):
+    def __init__(self, path: str, most: int = 2_000_000, most_parts: int = 500_000):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True
         self.joined = Tokenizer.from_file(path)  # here the end mark is a token, which separates the words of a call
         self.mark = self.joined.id_to_token(self._SEP)
-        self.most = most
+        self.most, self.most_parts = most, most_parts
+        self.parts: dict[str, bytes] = {}
         self.reset()
 
     def reset(self) -> None:
-        self.known: dict[int, int] = {}
-        self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
-        self.ids = np.zeros(1 << 20, np.uint16)
+        # sorted word hashes, where each word's ids begin among all ids, and how many they are
+        self.keys, self.start, self.size = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.ids = np.zeros(1 << 16, np.uint16)
         self.used = 0
-        self.parts: dict[str, np.ndarray] = {}
 
     def _encode(self, new: list[str]) -> None:
         for a in range(0, len(new), 20_000):
@@ -201,29 +216,37 @@ class WordTokenizer:
             if plain:
                 ids = np.array(self.joined.encode(self.mark.join(plain), add_special_tokens=False).ids, np.int64)
                 cut = np.flatnonzero(ids == self._SEP)
-                ids = ids.astype(np.uint16)
-                lo = np.concatenate([[0], cut + 1]).tolist()
-                hi = [*cut.tolist(), len(ids)]
-                self.parts.update((w, ids[x:y]) for w, x, y in zip(plain, lo, hi, strict=True))
-            self.parts.update((w, np.array(self.whole.encode(w, add_special_tokens=False).ids, np.uint16)) for w in odd)
+                raw = ids.astype(np.uint16).tobytes()
+                lo = (2 * np.concatenate([[0], cut + 1])).tolist()
+                hi = [*(2 * cut).tolist(), len(raw)]
+                self.parts.update((w, raw[x:y]) for w, x, y in zip(plain, lo, hi, strict=True))
+            self.parts.update((w, np.array(self.whole.encode(w, add_special_tokens=False).ids, np.uint16).tobytes()) for w in odd)
 
-    def learn(self, keys: list[int], new: list[str]) -> None:
+    def learn(self, keys: np.ndarray, new: list[str]) -> None:
         split: list[tuple[str, ...]] = []
         for w in new:
             m = self._SIMPLE.fullmatch(w)
             split.append((m[1].lower(), m[2]) if m and m[2] else (m[1].lower(),) if m else (w,))
+        if len(self.parts) > self.most_parts:
+            self.parts.clear()
         self._encode(list({p for s in split for p in s if p not in self.parts}))
-        for k, s in zip(keys, split, strict=True):
-            ids = self.parts[s[0]] if len(s) == 1 else np.concatenate([self.parts[p] for p in s])
-            n, row = len(ids), len(self.known)
-            if self.used + n > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), n), np.uint16)])
-            if row >= len(self.start):
-                self.start, self.size = np.concatenate([self.start, np.zeros_like(self.start)]), np.concatenate([self.size, np.zeros_like(self.size)])
-            self.ids[self.used : self.used + n] = ids
-            self.start[row], self.size[row] = self.used, n
-            self.used += n
-            self.known[k] = row
+        raw = [self.parts[s[0]] if len(s) == 1 else b"".join(self.parts[p] for p in s) for s in split]
+        size = np.array([len(r) // 2 for r in raw], np.int32)
+        n = int(size.sum())
+        if self.used + n > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids) // 2, n), np.uint16)])
+        self.ids[self.used : self.used + n] = np.frombuffer(b"".join(raw), np.uint16)
+        start = self.used + np.cumsum(size, dtype=np.int64) - size
+        self.used += n
+        o = np.argsort(keys)
+        at = np.searchsorted(self.keys, keys[o])
+        self.keys, self.start, self.size = (np.insert(old, at, x[o]) for old, x in ((self.keys, keys), (self.start, start), (self.size, size)))
+
+    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        i = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return i, self.keys[i] == keys
 
     def __call__(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end, and the offsets by text."""
@@ -231,18 +254,16 @@ class WordTokenizer:
         if not len(starts):
             return np.zeros(0, np.uint16), np.zeros(len(off), np.int64)
         codes, keys = pd.factorize(word_hashes(data, starts, ends))
-        if len(self.known) + len(keys) > self.most or len(self.parts) > self.most:
+        if len(self.keys) + len(keys) > self.most:
             self.reset()
-        keys = keys.tolist()
-        rows = [self.known.get(k, -1) for k in keys]
-        new = [i for i, r in enumerate(rows) if r < 0]
-        if new:
+        row, known = self._find(keys)
+        if not known.all():
             first = np.full(len(keys), -1, np.int64)
             first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-            raw = data.tobytes()
-            self.learn([keys[i] for i in new], [raw[starts[first[i]] : ends[first[i]]].decode("utf-8") for i in new])
-            rows = [self.known[k] for k in keys]
-        row = np.array(rows)[codes]
+            raw, new = data.tobytes(), np.flatnonzero(~known)
+            self.learn(keys[new], [raw[a:b].decode("utf-8") for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
+            row, _ = self._find(keys)
+        row = row[codes]
         size = self.size[row].astype(np.int64)
         upto = np.concatenate([[0], np.cumsum(size)])
         at = np.arange(int(upto[-1]), dtype=np.int64) + np.repeat(self.start[row] - upto[:-1], size)
@@ -292,9 +313,10 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, id_col: str = "
     result. Other columns are ignored.
     """
     spark = docs.sparkSession
+    ship(spark)
     pieces = materialize(
         docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-            lambda it: _pieces(it, tokenizer_path, size), "doc_id long, piece int, start long, length long, ids_crc32 long, part long, rank long"
+            lambda it: trimmed(_pieces(it, tokenizer_path, size)), "doc_id long, piece int, start long, length long, ids_crc32 long, part long, rank long"
         )
     )
     by_part = pieces.groupBy("part", "length").count()
