@@ -103,6 +103,39 @@ FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source JOIN best ON d.source IS
 """
 
 
+
+def _crc_step() -> str:
+    """SQL of one step of the CRC-32: ``a`` so far, ``y`` the next byte. The remainder of a byte is the sum modulo 2 of those of its bits."""
+    terms = []
+    for bit in range(8):
+        v = 1 << bit
+        for _ in range(8):
+            v = v >> 1 ^ (0xEDB88320 if v & 1 else 0)
+        terms.append(f"(xor(a, y) >> {bit} & 1) * {v}::UBIGINT")
+    out = "a >> 8"
+    for t in terms:
+        out = f"xor({out}, {t})"
+    return out
+
+
+#: (doc_id, size, text_crc32) of all documents.
+SUMMED_SQL = f"""
+digits AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size, hex(encode(coalesce(text, ''))) AS h FROM documents),
+bytes AS (SELECT doc_id, size, list_transform(regexp_extract_all(h, '..'), lambda x: ('0x' || x)::UBIGINT) AS b FROM digits),
+summed AS (
+  SELECT doc_id, size::BIGINT AS size, xor(list_reduce(b, lambda a, y: {_crc_step()}, 4294967295::UBIGINT), 4294967295::UBIGINT)::BIGINT AS text_crc32
+  FROM bytes)"""
+
+OP6_SQL = f"""
+WITH {SUMMED_SQL},
+placed AS (
+  SELECT *, sum(size) OVER w - size AS before, row_number() OVER w - 1 AS place, sum(size) OVER () AS total
+  FROM summed WINDOW w AS (ORDER BY doc_id NULLS FIRST, size, text_crc32 ROWS UNBOUNDED PRECEDING)),
+dealt AS (SELECT *, least(((2 * before + size) * 8) // (2 * total), 7)::INTEGER AS shard FROM placed)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, (place - min(place) OVER (PARTITION BY shard))::BIGINT AS slot, NULL::INTEGER AS grown_shard FROM dealt
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
@@ -119,4 +152,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1_SQL}
+    return {"op1_mixing": OP1_SQL, "op6_sharding": OP6_SQL}

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridroll.session import materialize
+from gridroll.session import materialize, ship
 
 
 def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,6 +48,7 @@ def shard_documents(docs: DataFrame, shards: int = 8, law: str = "bytes", id_col
         raise ValueError(f"unknown law {law!r}")
     if shards < 1:
         raise ValueError("shards must be positive")
+    ship(docs.sparkSession)
     slim = materialize(
         docs.select(
             F.col(id_col).alias("doc_id"),

@@ -18,9 +18,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridroll.llm.common import join_small
-from gridroll.llm.textvec import U64, flat, slices
-from gridroll.session import materialize
+from gridroll.llm.common import join_small, smallest
+from gridroll.llm.textvec import U64, flat, slices, trimmed
+from gridroll.session import materialize, ship
 
 #: Lengths of the n-grams, bits of a feature's number, standard errors that a ratio has to differ from none, labelled texts of each class that the regression is fitted to at most, and labels that may be broadcast.
 ORDERS, BITS, SURE, FIT_EACH, LABELS_BROADCAST = (4, 6), 20, 3.5, 2500, 1_000_000
@@ -144,7 +144,7 @@ def train(labelled: DataFrame, fit_each: int = FIT_EACH) -> Model:
         if texts.any():
             yield pa.RecordBatch.from_arrays([pa.array(np.append(f, -1)), pa.array(np.append(seen[0, f], texts[0])), pa.array(np.append(seen[1, f], texts[1]))], names=["f", "neg", "pos"])
 
-    got = labelled.select("text", F.col("y").cast("int").alias("y")).mapInArrow(count, "f long, neg long, pos long").groupBy("f").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos")).toArrow()  # 2 ** BITS + 1 rows at most
+    got = labelled.select("text", F.col("y").cast("int").alias("y")).mapInArrow(lambda it: trimmed(count(it)), "f long, neg long, pos long").groupBy("f").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos")).toArrow()  # 2 ** BITS + 1 rows at most
     f, neg, pos = (got.column(c).to_numpy() for c in ("f", "neg", "pos"))
     total = {"neg": int(neg[f < 0].sum()), "pos": int(pos[f < 0].sum())}
     if not total["neg"] or not total["pos"]:  # one class or none: the base rate
@@ -154,11 +154,14 @@ def train(labelled: DataFrame, fit_each: int = FIT_EACH) -> Model:
     p[f[f >= 0]], q[f[f >= 0]] = pos[f >= 0], neg[f >= 0]
     r = ratios(p, q, total["pos"], total["neg"])
     wanted = r != 0
-    idx, lens, ys, hashed = [], [], [], F.xxhash64("doc_id", "text")
-    for y in (0, 1):
-        some = labelled.where(F.col("y") == y).select("text", hashed.alias("h")).orderBy("h", "text").limit(fit_each).select("text")
-        sets = some.mapInArrow(lambda it: (pa.RecordBatch.from_arrays([pa.array([x.astype(np.int32).tobytes() for x in features(b.column("text"), wanted)], pa.binary())], names=["f"]) for whole in it for b in slices(whole, "text")), "f binary")
-        for x in sets.toArrow().column("f"):
+    idx, lens, ys = [], [], []
+    for y, all_ in ((0, total["neg"]), (1, total["pos"])):
+        for among in (all_, fit_each):  # where equal texts left too few below the hash threshold, once more without it
+            some = smallest(labelled.where(F.col("y") == y).select("doc_id", "text"), ["doc_id", "text"], fit_each, among).select("text")
+            sets = some.mapInArrow(lambda it: (pa.RecordBatch.from_arrays([pa.array([x.astype(np.int32).tobytes() for x in features(b.column("text"), wanted)], pa.binary())], names=["f"]) for whole in it for b in slices(whole, "text")), "f binary").toArrow().column("f")
+            if 2 * len(sets) >= min(fit_each, all_):
+                break
+        for x in sets:
             a = np.frombuffer(x.as_buffer(), np.int32)
             idx.append(a)
             lens.append(len(a))
@@ -181,6 +184,7 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, fit_each:
     A null id is not held out. An empty table gives an empty result.
     """
     spark = docs.sparkSession
+    ship(spark)
     held = F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), held.alias("held_out"))
     marks = materialize(labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.max(label_col).cast("int").alias("y")).where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2))
@@ -193,4 +197,4 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, fit_each:
                 s = model.value.score(b.column("text"))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    return slim.mapInArrow(run, f"doc_id {dict(slim.dtypes)['doc_id']}, held_out boolean, score double, predicted int")
+    return slim.mapInArrow(lambda it: trimmed(run(it)), f"doc_id {dict(slim.dtypes)['doc_id']}, held_out boolean, score double, predicted int")

@@ -1,19 +1,22 @@
 """Near-duplicate embeddings by iterative quantisation and multi-index Hamming tables.
 
-Rotations that bring the vectors close to the corners of a cube are learned
-from a bounded sample; the signs of the rotated components are balanced binary
-codes. The code is cut into substrings; each is the key of one Hamming table.
-Two vectors meet where any substring agrees, and are then compared by the
-cosine of the original vectors in double precision. The substrings grow with
-the logarithm of the number of vectors, so that a key keeps about as many
-vectors at any size, and the number of tables follows from the recall asked
-for at exactly the threshold.
+The vectors are centred, wholly or in part, and rotations that bring them close
+to the corners of a cube are learned from a bounded sample; the signs of the
+rotated components are balanced binary codes. The code is cut into substrings;
+each is the key of one Hamming table. All codes that differ in fewer bits than
+there are tables meet in one, and many that differ in more. Two vectors that
+meet are compared by the cosine of the original vectors in double precision.
+The substrings grow with the logarithm of the number of vectors, so that a key
+keeps about as many vectors at any size; the number of tables follows from the
+recall asked for at exactly the threshold; and how far to centre and how long
+a substring is are what costs least on the sample.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridroll.llm.common import components, join_small
-from gridroll.llm.textvec import mix64
+from gridroll.llm.textvec import trimmed
 from gridroll.llm.vectors import common_length, fit_sample, matrix, usable
-from gridroll.session import materialize
+from gridroll.session import materialize, ship
 
-#: Vectors of a key that one task compares with each other; a key with more is cut into blocks, which are compared in pairs.
-BLOCK = 1024
+#: Vectors of a key that one task compares with each other; a key with more is cut into blocks, which are compared in pairs. Comparisons that an entry in a table costs as much as; most tables.
+BLOCK, ENTRY, MOST_TABLES = 1024, 300, 400
 
 
 def learn_rotation(x: np.ndarray, seed: int, rounds: int = 30) -> np.ndarray:
@@ -48,11 +51,61 @@ def table_keys(x: np.ndarray, rotations: list[np.ndarray], bits: int, tables: in
     return signs.reshape(len(x), tables, bits) @ (1 << np.arange(bits, dtype=np.int64))
 
 
-def layout(n: int, threshold: float, recall: float) -> tuple[int, int]:
-    """Bits of a substring and number of tables for ``n`` vectors."""
-    bits = max(6, min(40, math.ceil(math.log2(max(2, n))) - 4))
-    agree = (1 - math.acos(min(1.0, threshold)) / math.pi) ** bits
-    return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - agree))) if agree < 1 else 1
+def n_tables(bits: int, cosine: float, recall: float) -> int:
+    """Tables that two vectors of the given cosine meet in with probability ``recall``, their signs taken as independent."""
+    agree = (1 - math.acos(max(-1.0, min(1.0, cosine))) / math.pi) ** bits
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - agree))) if 0 < agree < 1 else 1 if agree else MOST_TABLES + 1
+
+
+@dataclass
+class Coder:
+    """Keys of unit vectors: ``bits`` signs in each of ``tables`` tables, after ``centre`` is taken away and a rotation."""
+
+    centre: np.ndarray
+    rotations: list[np.ndarray]
+    bits: int
+    tables: int
+
+    def keys(self, x: np.ndarray) -> np.ndarray:
+        return table_keys(x - self.centre, self.rotations, self.bits, self.tables)
+
+
+def learn(x: np.ndarray, n: int, threshold: float, recall: float) -> Coder:
+    """The coder that costs least for ``n`` vectors like the unit vectors ``x``.
+
+    Vectors of a cosine at the threshold have a larger angle as seen from a
+    centre near them, so a centre costs tables but spreads the keys. Few lie
+    nearer the centre than a twentieth of the sample does, and the angle is
+    taken from there. An entry in a table costs as much as ENTRY comparisons.
+    """
+    dim = x.shape[1]
+    usual = max(6, min(40, math.ceil(math.log2(max(2, n))) - 4))
+    mean = x.mean(0) if len(x) else np.zeros(dim)
+    best: tuple[float, np.ndarray, int, int] | None = None
+    for part in (0.0, 0.5, 0.8, 1.0):
+        y = x - part * mean
+        away = np.quantile((y**2).sum(1), 0.05) if len(x) else 1.0
+        r = learn_rotation(y, 0, 10)
+        for bits in sorted({max(6, usual - 3), usual, min(40, usual + 3)}):
+            tables = n_tables(bits, 1 - (1 - threshold) / max(away, 1e-9), recall)
+            if tables > MOST_TABLES:
+                continue
+            some = min(tables, dim // bits) or 1
+            k = table_keys(y, [r] * -(-bits // dim), bits, some) if len(x) else np.zeros((0, some))
+            meet = [(float((np.unique(k[:, t], return_counts=True)[1] ** 2.0).sum()) - len(x)) / max(1, len(x) * (len(x) - 1)) for t in range(some)]
+            cost = tables * (ENTRY * n + n * n / 2 * float(np.mean(meet)))
+            if best is None or cost < best[0]:
+                best = (cost, part * mean, bits, tables)
+    if best is None:  # a low threshold: substrings as short as it takes
+        bits = next(b for b in range(usual, 0, -1) if b == 1 or n_tables(b, threshold, recall) <= MOST_TABLES)
+        best = (0.0, np.zeros(dim), bits, n_tables(bits, threshold, recall))
+    _, centre, bits, tables = best
+    return Coder(centre, [learn_rotation(x - centre, seed) for seed in range(-(-bits * tables // dim))], bits, tables)
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def _compare(batches: Iterator[pa.RecordBatch], dim: int, threshold: float) -> Iterator[pa.RecordBatch]:
@@ -99,7 +152,7 @@ def _compare(batches: Iterator[pa.RecordBatch], dim: int, threshold: float) -> I
             continue
         g = np.stack([b.column(c).to_numpy().astype(np.int64) for c in ("t", "key", "lo", "hi")], axis=1)
         ids, copies, block = (b.column(c).to_numpy() for c in ("vec_id", "copies", "block"))
-        x = matrix(b.column("unit"), dim)
+        x = unit(matrix(b.column("v"), dim))
         keys = b.column("keys").flatten().to_numpy().reshape(len(ids), -1)
         cut = np.concatenate([[0], np.flatnonzero((g[1:] != g[:-1]).any(axis=1)) + 1, [len(ids)]])
         for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
@@ -130,6 +183,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, recall: float =
     compared with others once. An empty table gives an empty result.
     """
     spark = vectors.sparkSession
+    ship(spark)
     rows = vectors.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("vec_id")).agg(F.min(vec_col).alias("v"))
     dim = common_length(vectors, vec_col)
     if not dim:
@@ -139,31 +193,28 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, recall: float =
     # equal vectors: one stands for all
     classes = materialize(good.groupBy("same").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"), F.min("v").alias("v")))
     n = classes.count()
-    bits, tables = layout(n, threshold, recall)
-    sample = fit_sample(classes, "vec_id", "v", dim)
-    sample /= np.maximum(np.linalg.norm(sample, axis=1, keepdims=True), 1e-300)
-    rotations = spark.sparkContext.broadcast([learn_rotation(sample, seed) for seed in range(-(-bits * tables // dim))])
+    sample = fit_sample(classes, "vec_id", "v", dim, n)
+    coder = spark.sparkContext.broadcast(learn(unit(sample) if len(sample) else sample, n, threshold, recall))
+    tables = coder.value.tables
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = matrix(b.column("v"), dim)
-            x /= np.abs(x).max(axis=1, keepdims=True)
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
-            keys = table_keys(x, rotations.value, bits, tables)
-            unit = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), dim).cast(pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("copies"), unit, pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), tables).cast(pa.list_(pa.int64()))], names=["vec_id", "copies", "unit", "keys"])
-
-    coded = materialize(classes.select("vec_id", "copies", "v").mapInArrow(code, "vec_id long, copies long, unit array<double>, keys array<long>"))
+            keys = coder.value.keys(unit(matrix(b.column("v"), dim)))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), tables).cast(pa.list_(pa.int64()))], names=["vec_id", "copies", "v", "keys"])
+
+    # the vectors travel as they came, mostly in single precision, and are normed in double precision where they meet
+    kind = dict(classes.dtypes)["v"]
+    coded = materialize(classes.select("vec_id", "copies", "v").mapInArrow(code, f"vec_id long, copies long, v {kind}, keys array<long>"))
     met = coded.select("vec_id", F.posexplode("keys").alias("t", "key")).groupBy("t", "key").count().where("count > 1")
     crowded = materialize(met.where(F.col("count") > BLOCK).select("t", "key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")))
     entries = coded.select("*", F.posexplode("keys").alias("t", "key"))
     split = join_small(entries, crowded, ["t", "key"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     # a vector of a crowded key goes to every pair of blocks that has its own; the hash spreads neighbours
     own = split.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
-    dealt = own.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("vec_id", "copies", "unit", "keys", "t", "key", "block", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"))
+    dealt = own.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("vec_id", "copies", "v", "keys", "t", "key", "block", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"))
     at = ["t", "key", "lo", "hi"]
     linked = materialize(
-        dealt.repartition(*at).sortWithinPartitions(*at).select("t", "key", "lo", "hi", "vec_id", "copies", "unit", "keys", "block").mapInArrow(lambda it: _compare(it, dim, threshold), "vec_id long, other long, n_links long")
+        dealt.repartition(*at).sortWithinPartitions(*at).select("t", "key", "lo", "hi", "vec_id", "copies", "v", "keys", "block").mapInArrow(lambda it: trimmed(_compare(it, dim, threshold)), "vec_id long, other long, n_links long")
     )
     links = linked.groupBy("vec_id").agg(F.sum("n_links").alias("n"))
     comp = components(linked.select(F.col("vec_id").alias("a"), F.col("other").alias("b")))

@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridroll.llm.common import smallest
+
 #: At most so many vectors, those of the smallest hashes, are brought to the driver to fit a rotation or codebooks.
 FIT_ROWS = 10_000
 
@@ -28,7 +30,7 @@ def matrix(col: pa.Array, dim: int) -> np.ndarray:
     return col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def fit_sample(df: DataFrame, id_col: str, vec: str, dim: int, rows: int = FIT_ROWS) -> np.ndarray:
-    """A fixed sample of at most ``rows`` vectors, for fitting only."""
-    got = df.select(F.xxhash64(id_col).alias("h"), vec).orderBy("h", vec).limit(rows).select(vec).toArrow()
+def fit_sample(df: DataFrame, id_col: str, vec: str, dim: int, total: int, rows: int = FIT_ROWS) -> np.ndarray:
+    """A fixed sample of at most ``rows`` of ``total`` vectors, for fitting only."""
+    got = smallest(df.select(id_col, vec), [id_col], rows, total).select(vec).toArrow()
     return matrix(got.column(0).combine_chunks(), dim) if got.num_rows else np.zeros((0, dim))
