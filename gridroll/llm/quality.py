@@ -23,8 +23,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridroll.llm.common import join_small, masked
-from gridroll.llm.textvec import U64, flat, slices
-from gridroll.session import materialize
+from gridroll.llm.textvec import U64, flat, slices, trimmed
+from gridroll.session import materialize, ship
 
 #: Order of the model, n-grams that may be broadcast (12 bytes each), distinct n-grams a partition holds before it passes them on, labels that may be broadcast, bins a unit of log perplexity for quantiles, bytes of text a block of the sharded way has, bytes of the language's usual text that are added to each text before it is compared, folds of trusted texts.
 ORDER, BROADCAST_GRAMS, HELD, LABELS_BROADCAST, BINS, BLOCK_BYTES, PRIOR, FOLDS = 5, 5_000_000, 4_000_000, 1_000_000, 1000, 16 << 20, 64, 4
@@ -102,43 +102,36 @@ def probabilities(counted: DataFrame, n: int = ORDER) -> DataFrame:
 
     Languages without any trusted text are left out.
     """
-    taught = counted.where("c > 0").select("lang").distinct()
-    asked = materialize(counted.where("asked").join(F.broadcast(taught), "lang", "left_semi").select("lang", "g"))  # languages are few
-    own = materialize(counted.where("c > 0"))
-    levels = []
-    for order in range(n, 0, -1):
-        levels.append((order, asked, own))
-        if order > 1:
-            suffix = F.col("g").bitwiseAND(F.lit((1 << 8 * (order - 1)) - 1))
-            asked = materialize(asked.select("lang", suffix.alias("g")).distinct())
-            own = materialize(own.groupBy("lang", suffix.alias("g")).agg(F.count("*").alias("c")))  # before how many bytes it stands
+    taught = F.broadcast(counted.where("c > 0").select("lang").distinct())  # languages are few
+    levels = [materialize(counted.join(taught, "lang", "left_semi").select("lang", "g", "c", "asked"))]
+    suffix = lambda order: F.col("g").bitwiseAND(F.lit((1 << 8 * (order - 1)) - 1))
+    for order in range(n, 1, -1):
+        # a shorter n-gram counts before how many bytes it stands, and is asked where a longer one is
+        levels.append(materialize(levels[-1].groupBy("lang", suffix(order).alias("g")).agg(F.sum((F.col("c") > 0).cast("long")).alias("c"), F.max("asked").alias("asked"))))
     p = None
-    for order, asked, own in reversed(levels):
-        d = F.broadcast(_discounts(own))  # a row a language
-        marked = own.join(d, "lang").withColumn("h", F.shiftright("g", 8))
-        contexts = marked.groupBy("lang", "h").agg(F.sum("c").alias("total"), F.sum(_discount(F.col("c"))).alias("saved"))
-        q = asked.join(marked.select("lang", "g", "c", (F.col("c") - _discount(F.col("c"))).alias("left")), ["lang", "g"], "left").withColumn("h", F.shiftright("g", 8)).join(contexts, ["lang", "h"], "left")
+    for order, level in enumerate(reversed(levels), 1):
+        own = level.where("c > 0")
+        marked = level.join(F.broadcast(_discounts(own)), "lang").withColumn("h", F.shiftright("g", 8))  # a row a language
+        contexts = marked.where("c > 0").groupBy("lang", "h").agg(F.sum("c").alias("total"), F.sum(_discount(F.col("c"))).alias("saved"))
+        q = marked.where("asked").select("lang", "g", "h", (F.col("c") - _discount(F.col("c"))).alias("left")).join(contexts, ["lang", "h"], "left")
         if p is None:
             q = q.withColumn("lower", F.lit(1 / 255))
         else:
-            q = q.withColumn("s", F.col("g").bitwiseAND(F.lit((1 << 8 * (order - 1)) - 1))).join(p.select("lang", F.col("g").alias("s"), F.col("p").alias("lower")), ["lang", "s"])
-        p = materialize(q.select("lang", "g", F.when(F.col("total").isNull(), F.col("lower")).otherwise(F.coalesce("left", F.lit(0.0)) / F.col("total") + F.col("saved") / F.col("total") * F.col("lower")).alias("p")))
+            q = q.withColumn("s", suffix(order)).join(p.select("lang", F.col("g").alias("s"), F.col("p").alias("lower")), ["lang", "s"])
+        p = materialize(q.select("lang", "g", F.when(F.col("total").isNull(), F.col("lower")).otherwise(F.col("left") / F.col("total") + F.col("saved") / F.col("total") * F.col("lower")).alias("p")))
     return p.select("lang", "g", F.log("p").alias("logp"))
 
 
 Tables = dict[str, tuple[np.ndarray, np.ndarray]]
 
 
-def _tables(p: pa.Table) -> Tables:
-    out: Tables = {}
-    p = p.combine_chunks()
-    lang = p.column("lang").combine_chunks().dictionary_encode()
-    codes, g, logp = lang.indices.to_numpy(), p.column("g").to_numpy(), p.column("logp").to_numpy()
-    for i, x in enumerate(lang.dictionary.to_pylist()):
-        rows = np.flatnonzero(codes == i)
-        o = rows[np.argsort(g[rows])]
-        out[x] = (g[o], logp[o].astype(np.float32))
-    return out
+def _tables(p: pa.Table, langs: list[str]) -> Tables:
+    """By model its n-grams in order and their log probabilities, from rows (code, a model's place in ``langs``; g; logp)."""
+    code, g, logp = (p.column(c).to_numpy() for c in ("code", "g", "logp"))
+    o = np.lexsort((g, code))
+    g, logp = g[o], logp[o].astype(np.float32, copy=False)
+    cut = np.searchsorted(code, np.arange(len(langs) + 1), sorter=o)
+    return {x: (g[cut[i] : cut[i + 1]], logp[cut[i] : cut[i + 1]]) for i, x in enumerate(langs) if cut[i] < cut[i + 1]}
 
 
 def _scored(b: pa.RecordBatch, model: str, tables: Tables, n: int) -> pa.Array:
@@ -175,6 +168,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.985, slack:
     are replaced.
     """
     spark = docs.sparkSession
+    ship(spark)
     docs = docs.drop("perplexity", "threshold", "kept")
     marks = materialize(labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).alias("lo"), F.max(label_col).alias("hi")).where("lo = 1 and hi = 1").select("_id", F.lit(True).alias("trusted")))
     docs, hidden = masked(docs)
@@ -184,7 +178,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.985, slack:
     fold = F.when(F.col("trusted"), F.pmod(F.xxhash64(text), F.lit(FOLDS)).cast("int"))
     slim = marked.select(lang.alias("lang"), text.alias("text"), F.coalesce(fold, F.lit(-1)).alias("fold"))
     of = [F.sum(F.when(F.col("fold") == k, F.col("c")).otherwise(0)).alias(f"c{k}") for k in range(FOLDS)]
-    counted = materialize(slim.mapInArrow(lambda it: _count(it, order), "lang string, fold int, g long, c long").groupBy("lang", "g").agg(F.sum("c").alias("c"), *of))
+    counted = materialize(slim.mapInArrow(lambda it: trimmed(_count(it, order)), "lang string, fold int, g long, c long").groupBy("lang", "g").agg(F.sum("c").alias("c"), *of))
     p = materialize(probabilities(_models(counted), order))
     rest = [c for c in marked.columns]
     full = marked.select(lang.alias("_lang"), F.concat(fold.cast("string"), lang).alias("_fold"), text.alias("_text"), *rest)
@@ -193,15 +187,18 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.985, slack:
     def answer(b: pa.RecordBatch, tables: Tables) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), _scored(b, "_lang", tables, order), _scored(b, "_fold", tables, order)], names=[*rest, "_mean", "_held"])
 
+    langs = sorted(r["lang"] for r in p.select("lang").distinct().collect())  # languages, once for each fold and once for all
+    code = (F.array_position(F.array(*[F.lit(x) for x in langs]), F.col("lang")) - 1) if langs else F.lit(0)
+    slim_p = p.select(code.cast("smallint").alias("code"), "g", F.col("logp").cast("float").alias("logp"))  # what travels of a model
     if p.count() <= broadcast_grams:
-        held = spark.sparkContext.broadcast(_tables(p.toArrow()))
+        held = spark.sparkContext.broadcast(_tables(slim_p.toArrow(), langs))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
                 for b in slices(whole, "_text"):
                     yield answer(b, held.value)
 
-        scored = full.mapInArrow(run, schema)
+        scored = full.mapInArrow(lambda it: trimmed(run(it)), schema)
     else:
         # the sharded way: each block asks the shards for its own n-grams, and only for these
         total = full.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
@@ -215,10 +212,10 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.985, slack:
                             g = pd.unique(grams(b.column("_text").take(pa.array(rows)), order)[0])
                             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), key[0])), pa.array([key[1]] * len(g), pa.string()), pa.array(g)], names=["block", "lang", "g"])
 
-        answers = blocks.mapInArrow(ask, "block long, lang string, g long").distinct().join(p, ["lang", "g"])
+        answers = blocks.mapInArrow(ask, "block long, lang string, g long").distinct().join(p, ["lang", "g"]).select("block", code.cast("smallint").alias("code"), "g", F.col("logp").cast("float").alias("logp"))
 
         def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-            tables = _tables(right)
+            tables = _tables(right, langs)
             return pa.Table.from_batches([answer(b, tables) for b in left.combine_chunks().to_batches()])
 
         scored = blocks.groupBy("_block").cogroup(answers.groupBy("block")).applyInArrow(meet, schema)
