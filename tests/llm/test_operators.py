@@ -8,11 +8,12 @@ from fractions import Fraction
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from gridroll.llm import ann, html, packing, quality, toxicity
-from gridroll.llm.common import components
+from gridroll.llm import ann, html, packing, quality, toxicity, vectordup
+from gridroll.llm.common import components, smallest
 from gridroll.llm.linededup import dedup_lines
 from gridroll.llm.mixing import mix, targets
 from gridroll.llm.ngram_join import jaccard_join
@@ -219,6 +220,25 @@ def test_html_surroundings():
     assert html.main_text(f"<article class='post with-comments'>{body}</article><div class=related><article>{body}</article></div>") == want
 
 
+def test_html_distribution():
+    """Surge and dive against their definition, on random lines."""
+    rng = random.Random(6)
+    for case in range(400):
+        marks = case % 3 == 0
+        found = [(f"{i} " + "x" * rng.choice([1, 20, 60, 150]) if rng.random() < 0.8 else "", marks and rng.random() < 0.5, rng.choice([0.0, 0.2, 0.9])) for i in range(rng.randrange(0, 25))]
+        texts = [f for f in found if f[0]]
+        marked = any(f[1] for f in texts)
+        length = [len(t) * ((inside if marked else share <= 0.5)) for t, inside, share in texts]
+        n, w = len(length), html.WINDOW
+        total = lambda i: sum(length[j] for j in range(i, min(i + w, n)))  # noqa: B023, E731
+        # a line belongs to a run if it and all lines back to one with a length that begins the run are ahead of no empty window
+        starts = [i for i in range(n) if length[i] and (i == 0 or not any(length[j] and all(total(k) for k in range(j, i + 1)) for j in range(i)))]
+        spans = [(i, next((k for k in range(i, n) if not total(k)), n)) for i in starts]
+        surging = [s for s in spans if marked or max(total(k) for k in range(*s)) >= html.SURGE] or sorted(spans, key=lambda s: (-sum(length[slice(*s)]), s[0]))[:1]
+        want = "\n".join(texts[i][0] for i in range(surging[0][0], surging[-1][1]) if length[i]) if surging else ""
+        assert html._body(found, w, html.SURGE) == (want, marked)
+
+
 # 4
 
 
@@ -297,6 +317,9 @@ def test_plan():
             for x in lengths:
                 used[x] += times
         assert dict(used) == case and sequences <= sum(k * v for k, v in case.items()) / 2048 * 1.02 + 1
+    # of sequences that hold several pieces, patterns fill most
+    found, by_pattern = packing.plan_on(case, 2048, *packing.GRIDS[0])
+    assert by_pattern > 0.5 * sum(t for t, ls in found if len(ls) > 1)
 
 
 # 6
@@ -350,9 +373,65 @@ def test_vector_dup(spark, monkeypatch):
     assert (found["component_id"].to_numpy() == label).mean() > 0.99
 
 
+@pytest.mark.parametrize("shift", [0.0, 0.7, 1.5])
+def test_vector_codes(shift):
+    """Pairs at exactly the threshold share a key, and keys stay balanced however far the vectors lie from the origin."""
+    rng = np.random.default_rng(5)
+    x = vectordup.unit(rng.standard_normal((4000, 32)) + shift)
+    coder = vectordup.learn(x, len(x), 0.95, 0.999)
+    side = rng.standard_normal((1000, 32))
+    side -= (side * x[:1000]).sum(1, keepdims=True) * x[:1000]
+    near = 0.95 * x[:1000] + (1 - 0.95**2) ** 0.5 * side / np.linalg.norm(side, axis=1, keepdims=True)
+    k, k2 = coder.keys(x), coder.keys(near)
+    assert (k[:1000] == k2).any(1).mean() >= 0.995
+    comparisons = lambda keys: sum(((np.unique(c, return_counts=True)[1] ** 2.0).sum() - len(x)) / 2 for c in keys.T)
+    tables = vectordup.n_tables(coder.bits, 0.95, 0.999)
+    plain = vectordup.table_keys(x, [vectordup.learn_rotation(x, s) for s in range(-(-coder.bits * tables // 32))], coder.bits, tables)
+    assert comparisons(k) < (0.7 if shift == 1.5 else 1.1) * comparisons(plain)
+    for low in (0.3, 0.6):
+        assert vectordup.learn(x, len(x), low, 0.99).tables <= vectordup.MOST_TABLES
+
+
 # 8
 
 
+def test_toxicity_model():
+    """Scores against the definition: one set of n-grams a text, ratios that differ surely from none, and a fit at which the gradient vanishes."""
+    texts = ["You  FOOL\tthere", "kind words", "", None, "fool fool fool", "words of the kind there"]
+
+    def plain(t):
+        b = re.sub(r"[\t-\r]", " ", f" {t or ''} ").encode().lower()
+        return {(n, b[i : i + n]) for n in toxicity.ORDERS for i in range(len(b) - n + 1)}
+
+    got = [set(f.tolist()) for f in toxicity.features(pa.array(texts))]
+    number = {}
+    for t, f in zip(texts, got, strict=True):
+        assert len(f) == len(plain(t))
+        for n, g in plain(t):
+            number[n, g] = (int.from_bytes(g, "little") * (0x9E3779B97F4A7C15 + 2 * n) % (1 << 64)) >> (64 - toxicity.BITS)
+            assert number[n, g] in f
+    pos, neg = np.array([9.0, 50.0, 0.0]), np.array([9.0, 2.0, 1.0])
+    r = toxicity.ratios(pos, neg, 100, 100)
+    assert r[0] == 0 and r[2] == 0 and r[1] == pytest.approx(np.log(51 / 102) - np.log(3 / 102))
+    rng = np.random.default_rng(1)
+    sets = [np.flatnonzero(rng.random(12) < 0.4) for _ in range(80)]
+    y, scale, weight = (rng.random(80) < 0.4).astype(float), rng.standard_normal(12), rng.random(80) + 0.5
+    coef, bias = toxicity.logistic(np.concatenate(sets), np.concatenate([[0], np.cumsum([len(x) for x in sets])]), y, weight, scale, rounds=400)
+    x = np.array([[j in f for j in range(12)] for f in sets]) * scale
+    w = np.where(scale != 0, coef / scale, 0)
+    e = weight * (1 / (1 + np.exp(-(x @ w + bias))) - y)
+    assert np.abs(x.T @ e + w).max() < 1e-3 and abs(e.sum()) < 1e-3
+    model = toxicity.Model(np.bincount([number[4, b"fool"]], [2.0], 1 << toxicity.BITS), -1.0)
+    assert model.score(pa.array(texts)) == pytest.approx([1 / (1 + np.exp(-z)) for z in (1, -1, -1, -1, 1, -1)])
+
+
+def test_fixed_sample(spark):
+    """The rows of the smallest hashes, the same however the table is cut; some fewer where one row is a third of them."""
+    df = spark.createDataFrame([(i, "x") for i in range(3000)] + [(7, "x")] * 1500, "doc_id long, text string")
+    a, b_ = (sorted(map(tuple, smallest(d, ["doc_id", "text"], 200, 4500).collect())) for d in (df, df.repartition(7)))
+    assert a == b_ and 100 <= len(a) <= 200 and smallest(df, ["doc_id"], 9000, 4500).count() == 4500 and smallest(df.where("false"), ["doc_id"], 5, 0).count() == 0
+
+
 def test_toxicity(spark, edge, none, labels):
     assert toxicity.score(none, labels).count() == 0
     out = toxicity.score(edge, labels).collect()
@@ -387,6 +466,30 @@ def test_components(spark):
     assert got == {x: root(x) for x in parent}
 
 
+def test_jaccard_family(spark, edge, monkeypatch):
+    """A large family of edited copies, chained and apart, with n-grams that are split over fragments: components equal brute force."""
+    monkeypatch.setattr("gridroll.llm.ngram_join.FRAGMENT", 40)
+    monkeypatch.setattr("gridroll.llm.ngram_join.OFTEN", 2)
+    rng = random.Random(3)
+    base = text_of(60, 5, 5000).split()
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for j in rng.sample(range(60), rng.choice([0, 1, 1, 2, 3, 4, 6])):
+            w[j] = f"e{i}x{j}"
+        rows.append((i, " ".join(w), "en", "s"))
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in (t.split() for _, t, *_ in rows)]
+    label = list(range(150))
+    for a in range(150):
+        for b_ in range(a):
+            both = len(sets[a] & sets[b_])
+            if 100 * both >= 75 * (len(sets[a]) + len(sets[b_]) - both):
+                x, y = label[a], label[b_]
+                label = [min(x, y) if v in (x, y) else v for v in label]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join(docs(spark, rows).repartition(4)).collect()}
+    assert got == dict(enumerate(label)) and 2 < len(set(label)) < 150
+
+
 def test_jaccard(spark, edge, none):
     assert jaccard_join(none).count() == 0
     out = {r["doc_id"]: r for r in jaccard_join(edge).collect()}
@@ -432,3 +535,25 @@ def test_ann(spark, monkeypatch):
     assert out["query_id"].nunique() == 22 and hit >= 0.97 * 220
     few = _vectors(spark, [(i, a.tolist(), 0) for i, a in enumerate(x[:3])])
     assert ann.search(few, few, 10).count() == 6
+
+
+def test_ann_cells(spark, monkeypatch):
+    """Vectors in clusters: a query visits few cells and finds nearly all it would by brute force."""
+    monkeypatch.setattr("gridroll.llm.ann.CELLS_FROM", 500)
+    monkeypatch.setattr("gridroll.llm.ann.CANDIDATES", 100)
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((40, 16))
+    x = (centres[rng.integers(0, 40, 3000)] + 0.2 * rng.standard_normal((3000, 16))).astype(np.float32)
+    x[:900] = x[0] + 0.01 * rng.standard_normal((900, 16))  # one cell holds a third of all
+    cells = ann.Cells(x.astype(np.float64), len(x), 10)
+    assert len(cells.centres) > 20 and cells.visits <= len(cells.centres) // 2
+    base = _vectors(spark, [(i, v.tolist(), 0) for i, v in enumerate(x)])
+    got = ann.search(base.where("vec_id % 20 = 0"), base, 10).toPandas()
+    y = x.astype(np.float64)
+    s = y @ y.T
+    np.fill_diagonal(s, -np.inf)
+    asked = np.arange(0, 3000, 20)
+    want = {q: set(np.lexsort((np.arange(3000), -s[q]))[:10].tolist()) for q in asked}
+    assert (got.groupby("query_id").size() == 10).all() and set(got["query_id"]) == set(asked.tolist())
+    assert sum(len(want[q] & set(g["vec_id"])) for q, g in got.groupby("query_id")) >= 0.95 * 10 * len(asked)
+    assert np.allclose(got["score"], s[got["query_id"], got["vec_id"]], rtol=1e-12)
