@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from gridroll.spec import CubeSpec, Read
 
 
+#: Requests that are broadcast; more of them are joined by a shuffle.
+BROADCAST_READS = 50_000
+
+
 def point(cells: DataFrame, read: Read) -> DataFrame:
     """The cell's row, or none: absence is not 0. Partition-pruned on the rollup, key predicates pushed to the scan."""
     name = read.rollup.name
@@ -35,8 +39,8 @@ def requests(cells: DataFrame, reads: Sequence[Read]) -> DataFrame:
 def multi_get(cells: DataFrame, reads: Sequence[Read]) -> DataFrame:
     """(pos, measures) with a row for each read in order; measures are null where the cell is absent.
 
-    The requests, which the caller holds in memory, are broadcast to the cells
-    of their rollups; what they hit is put in place again by position.
+    Up to BROADCAST_READS requests are broadcast to the cells of their rollups,
+    more are joined by a shuffle; what they hit is put in place again by position.
     """
     if not reads:
         raise ValueError("no reads")
@@ -44,7 +48,7 @@ def multi_get(cells: DataFrame, reads: Sequence[Read]) -> DataFrame:
     asked = requests(cells, reads)
     own = cells.where((F.col("cube") == spec.name) & F.col("rollup_id").isin(sorted({r.rollup.name for r in reads})))
     match = reduce(lambda a, c: a & own[c].eqNullSafe(asked[c]), spec.keys, own["rollup_id"] == asked["rollup_id"])
-    hit = own.join(F.broadcast(asked), match).select("pos", *[own[m.name] for m in spec.measures])
+    hit = own.join(F.broadcast(asked) if len(reads) <= BROADCAST_READS else asked, match).select("pos", *[own[m.name] for m in spec.measures])
     return asked.select("pos").join(hit, "pos", "left").orderBy("pos")
 
 

@@ -190,6 +190,16 @@ def test_sources(spark):
         raw_cells(KEYED, spark.createDataFrame([("zz", 1, 1)], "rollup_id string, k__identity long, value long")).collect()
 
 
+def test_reads_beyond_broadcast(spark, monkeypatch):
+    """Many reads at once are joined by a shuffle, with the same answer."""
+    spec = CubeSpec("k", [Dimension("k", b.long(), "k")], [R("k")], [ms.count("n")])
+    cells = fanout.build_cells(spec, spark.range(50).select((F.col("id") % 20).alias("k")))
+    asked = [Read(spec).at("k", k) for k in (3, 99, 3, 15, 0)]
+    first = [tuple(r) for r in reads.multi_get(cells, asked).collect()]
+    monkeypatch.setattr(reads, "BROADCAST_READS", 2)
+    assert [tuple(r) for r in reads.multi_get(cells, asked).collect()] == first == [(0, 3), (1, None), (2, 3), (3, 2), (4, 3)]
+
+
 def test_reads_prune(spark, tmp_path):
     """A point read touches one partition, and its keys reach the scan."""
     cells = fanout.build_cells(TAGGED, spark.createDataFrame(_random_rows(7), "x long, y string, s array<string>, t array<string>, v long"))
