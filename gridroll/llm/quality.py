@@ -26,8 +26,8 @@ from gridroll.llm.common import join_small, masked
 from gridroll.llm.textvec import U64, flat, slices, trimmed
 from gridroll.session import materialize, ship
 
-#: Order of the model, n-grams that may be broadcast (12 bytes each), distinct n-grams a partition holds before it passes them on, labels that may be broadcast, bins a unit of log perplexity for quantiles, bytes of text a block of the sharded way has, bytes of the language's usual text that are added to each text before it is compared, folds of trusted texts.
-ORDER, BROADCAST_GRAMS, HELD, LABELS_BROADCAST, BINS, BLOCK_BYTES, PRIOR, FOLDS = 5, 5_000_000, 4_000_000, 1_000_000, 1000, 16 << 20, 64, 4
+#: Order of the model, n-grams that may be broadcast (12 bytes each), distinct n-grams a partition holds before it passes them on, labels that may be broadcast, bins a unit of log perplexity for quantiles, bytes of text a block of the sharded way has, bytes of the language's usual text that are added to each text before it is compared, folds of trusted texts, parts in which the driver fetches the models.
+ORDER, BROADCAST_GRAMS, HELD, LABELS_BROADCAST, BINS, BLOCK_BYTES, PRIOR, FOLDS, FETCHES = 5, 5_000_000, 4_000_000, 1_000_000, 1000, 16 << 20, 64, 4, 5
 
 
 def grams(texts: pa.Array, n: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
@@ -191,7 +191,10 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.985, slack:
     code = (F.array_position(F.array(*[F.lit(x) for x in langs]), F.col("lang")) - 1) if langs else F.lit(0)
     slim_p = p.select(code.cast("smallint").alias("code"), "g", F.col("logp").cast("float").alias("logp"))  # what travels of a model
     if p.count() <= broadcast_grams:
-        held = spark.sparkContext.broadcast(_tables(slim_p.toArrow(), langs))
+        tables: Tables = {}
+        for part in range(FETCHES):  # one after the other, so that the driver never holds all rows besides the tables
+            tables |= _tables(slim_p.where(F.col("code") % FETCHES == part).toArrow(), langs)
+        held = spark.sparkContext.broadcast(tables)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
