@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import ctypes.util
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,10 +18,8 @@ def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``batches``, after which the worker, which serves further tasks, gives unused memory back to the system."""
     yield from batches
     pa.default_memory_pool().release_unused()
-    if libc := ctypes.util.find_library("c"):
-        trim = getattr(ctypes.CDLL(libc), "malloc_trim", None)
-        if trim is not None:
-            trim(0)
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+        trim(0)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
