@@ -122,26 +122,33 @@ def probabilities(counted: DataFrame, n: int = ORDER) -> DataFrame:
     return p.select("lang", "g", F.log("p").alias("logp"))
 
 
-Tables = dict[str, tuple[np.ndarray, np.ndarray]]
+Tables = dict[int, tuple[np.ndarray, np.ndarray]]
 
 
-def _tables(p: pa.Table, langs: list[str]) -> Tables:
-    """By model its n-grams in order and their log probabilities, from rows (code, a model's place in ``langs``; g; logp)."""
+def _tables(p: pa.Table) -> Tables:
+    """By model its n-grams in order and their log probabilities, from rows (code, a model's number; g; logp)."""
     code, g, logp = (p.column(c).to_numpy() for c in ("code", "g", "logp"))
     o = np.lexsort((g, code))
     g, logp = g[o], logp[o].astype(np.float32, copy=False)
-    cut = np.searchsorted(code, np.arange(len(langs) + 1), sorter=o)
-    return {x: (g[cut[i] : cut[i + 1]], logp[cut[i] : cut[i + 1]]) for i, x in enumerate(langs) if cut[i] < cut[i + 1]}
+    codes, first = np.unique(code[o], return_index=True)
+    cut = [*first, len(g)]
+    return {int(c): (g[cut[i] : cut[i + 1]], logp[cut[i] : cut[i + 1]]) for i, c in enumerate(codes)}
 
 
-def _scored(b: pa.RecordBatch, model: str, tables: Tables, n: int) -> pa.Array:
-    """The mean log probability of each row's bytes by the model that the column ``model`` names; null without bytes or model."""
+def _by_value(b: pa.RecordBatch, column: str) -> Iterator[tuple[int, np.ndarray]]:
+    """The values of a column of numbers in order, and the rows of each."""
+    v = b.column(column).to_numpy(zero_copy_only=False)
+    for x in np.unique(v):
+        yield int(x), np.flatnonzero(v == x)
+
+
+def _scored(b: pa.RecordBatch, text: str, tables: Tables, n: int) -> pa.Array:
+    """The mean log probability of the bytes of each row's ``text`` by the model whose number is in the column ``_code``; null without bytes or model."""
     out = np.full(b.num_rows, np.nan)
-    langs = b.column(model).to_pandas()
-    for lang, rows in langs.groupby(langs).indices.items():
-        if lang in tables:
-            keys, logp = tables[lang]
-            v, off = grams(b.column("_text").take(pa.array(rows)), n)
+    for model, rows in _by_value(b, "_code"):
+        if model in tables:
+            keys, logp = tables[model]
+            v, off = grams(b.column(text).take(pa.array(rows)), n)
             codes, own = pd.factorize(v)
             s = logp[np.minimum(np.searchsorted(keys, own), len(keys) - 1)].astype(np.float64)[codes]
             sums = np.concatenate([[0.0], np.cumsum(s)])
@@ -151,6 +158,32 @@ def _scored(b: pa.RecordBatch, model: str, tables: Tables, n: int) -> pa.Array:
     return pa.array(out, from_pandas=True)
 
 
+def _ask(batches: Iterator[pa.RecordBatch], text: str, n: int) -> Iterator[pa.RecordBatch]:
+    """(block, code, g): each block's n-grams by model, once; the rows of a block come one after the other."""
+    held: dict[int, np.ndarray] = {}
+    at = -1
+
+    def told() -> Iterator[pa.RecordBatch]:
+        for code, own in held.items():
+            for x in range(0, len(own), 200_000):
+                g = own[x : x + 200_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), at)), pa.array(np.full(len(g), code, np.int16)), pa.array(g)], names=["block", "code", "g"])
+        held.clear()
+
+    for whole in batches:
+        for b in slices(whole, text):
+            for block, in_block in _by_value(b, "_block"):
+                if block != at:
+                    yield from told()
+                    at = block
+                part = b.take(pa.array(in_block))
+                for code, rows in _by_value(part, "_code"):
+                    if code >= 0:
+                        g = pd.unique(grams(part.column(text).take(pa.array(rows)), n)[0])
+                        held[code] = pd.unique(np.concatenate([held[code], g])) if code in held else g
+    yield from told()
+
+
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.985, slack: float = 1.02, order: int = ORDER, broadcast_grams: int = BROADCAST_GRAMS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality") -> DataFrame:
     """Perplexity of every row of ``docs`` and whether it is kept.
 
@@ -180,50 +213,45 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.985, slack:
     of = [F.sum(F.when(F.col("fold") == k, F.col("c")).otherwise(0)).alias(f"c{k}") for k in range(FOLDS)]
     counted = materialize(slim.mapInArrow(lambda it: trimmed(_count(it, order)), "lang string, fold int, g long, c long").groupBy("lang", "g").agg(F.sum("c").alias("c"), *of))
     p = materialize(probabilities(_models(counted), order))
-    rest = [c for c in marked.columns]
-    full = marked.select(lang.alias("_lang"), F.concat(fold.cast("string"), lang).alias("_fold"), text.alias("_text"), *rest)
-    schema = full.drop("_lang", "_fold", "_text").withColumns({c: F.lit(None).cast("double") for c in ("_mean", "_held")}).schema
-
-    def answer(b: pa.RecordBatch, tables: Tables) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), _scored(b, "_lang", tables, order), _scored(b, "_fold", tables, order)], names=[*rest, "_mean", "_held"])
-
     langs = sorted(r["lang"] for r in p.select("lang").distinct().collect())  # languages, once for each fold and once for all
-    code = (F.array_position(F.array(*[F.lit(x) for x in langs]), F.col("lang")) - 1) if langs else F.lit(0)
-    slim_p = p.select(code.cast("smallint").alias("code"), "g", F.col("logp").cast("float").alias("logp"))  # what travels of a model
+    code = lambda model: ((F.coalesce(F.array_position(F.array(*[F.lit(x) for x in langs]), model), F.lit(0)) - 1) if langs else F.lit(-1)).cast("smallint")
+    slim_p = p.select(code(F.col("lang")).alias("code"), "g", F.col("logp").cast("float").alias("logp"))  # what travels of a model
+    held = None
     if p.count() <= broadcast_grams:
         tables: Tables = {}
         for part in range(FETCHES):  # one after the other, so that the driver never holds all rows besides the tables
-            tables |= _tables(slim_p.where(F.col("code") % FETCHES == part).toArrow(), langs)
+            tables |= _tables(slim_p.where(F.col("code") % FETCHES == part).toArrow())
         held = spark.sparkContext.broadcast(tables)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for whole in batches:
-                for b in slices(whole, "_text"):
-                    yield answer(b, held.value)
-
-        scored = full.mapInArrow(lambda it: trimmed(run(it)), schema)
-    else:
-        # the sharded way: each block asks the shards for its own n-grams, and only for these
-        total = full.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
-        blocks = full.withColumn("_block", F.pmod(F.xxhash64("_text", id_col), F.lit(max(1, total // BLOCK_BYTES))))
+    def means(rows: DataFrame, model: Column) -> DataFrame:
+        """``rows`` with ``_mean``, the mean log probability of their texts' bytes by ``model``."""
+        rest = rows.columns
+        full = rows.select(code(model).alias("_code"), *rest)
+        schema = rows.withColumn("_mean", F.lit(None).cast("double")).schema
 
-        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for whole in batches:
-                for b in slices(whole, "_text"):
-                    for model in ("_lang", "_fold"):
-                        for key, rows in b.select(["_block", model]).to_pandas().groupby(["_block", model]).indices.items():
-                            g = pd.unique(grams(b.column("_text").take(pa.array(rows)), order)[0])
-                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), key[0])), pa.array([key[1]] * len(g), pa.string()), pa.array(g)], names=["block", "lang", "g"])
+        def answer(whole: pa.RecordBatch, tables: Tables) -> Iterator[pa.RecordBatch]:
+            for b in slices(whole, text_col):
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), _scored(b, text_col, tables, order)], names=[*rest, "_mean"])
 
-        answers = blocks.mapInArrow(ask, "block long, lang string, g long").distinct().join(p, ["lang", "g"]).select("block", code.cast("smallint").alias("code"), "g", F.col("logp").cast("float").alias("logp"))
+        if held is not None:
+            return full.mapInArrow(lambda it: trimmed(x for b in it for x in answer(b, held.value)), schema)
+        # the sharded way: the texts are dealt to blocks first, so that each block asks the shards once for each of its n-grams, and only for these
+        total = rows.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+        blocks = full.withColumn("_block", F.pmod(F.xxhash64(text_col, id_col), F.lit(max(1, total // BLOCK_BYTES)))).repartition("_block")
+        asked = blocks.sortWithinPartitions("_block").mapInArrow(lambda it: trimmed(_ask(it, text_col, order)), "block long, code smallint, g long")
+        answers = asked.join(slim_p, ["code", "g"]).select("block", "code", "g", "logp")
 
         def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-            tables = _tables(right, langs)
-            return pa.Table.from_batches([answer(b, tables) for b in left.combine_chunks().to_batches()])
+            tables = _tables(right)
+            return pa.Table.from_batches([x for b in left.combine_chunks().to_batches() for x in answer(b, tables)])
+
+        return blocks.groupBy("_block").cogroup(answers.groupBy("block")).applyInArrow(meet, schema)
 
-        scored = blocks.groupBy("_block").cogroup(answers.groupBy("block")).applyInArrow(meet, schema)
-    scored = scored.withColumn("perplexity", F.exp(-F.col("_mean"))).withColumn("_l", lang).withColumn("_n", F.coalesce(F.octet_length(text_col), F.lit(0)))
-    known = materialize(scored.where("_held is not null").select("_l", F.col("_held").alias("_mean"), "_n"))
+    size = F.coalesce(F.octet_length(text_col), F.lit(0))
+    # only trusted texts are scored by the models of the folds
+    held_out = marked.where("trusted").select(id_col, text_col, lang.alias("_l"), F.concat(fold.cast("string"), lang).alias("_fold"))
+    known = materialize(means(held_out, F.col("_fold")).where("_mean is not null").select("_l", "_mean", size.alias("_n")))
+    scored = means(marked, lang).withColumn("perplexity", F.exp(-F.col("_mean"))).withColumn("_l", lang).withColumn("_n", size)
     usual = F.broadcast(materialize(known.groupBy("_l").agg((F.sum(F.col("_mean") * F.col("_n")) / F.sum("_n")).alias("_usual"))))  # a row a language
     level = (-(F.col("_mean") * F.col("_n") + F.col("_usual") * PRIOR) / (F.col("_n") + PRIOR)).alias("_level")
     # quantiles by counting bins, exact to a bin and the same in every run

@@ -177,6 +177,23 @@ def test_quality_unseen(spark):
         assert all(r["kept"] and r["threshold"] is None for r in out if r["lang"] == "xx")  # one trusted text tells nothing of others
 
 
+def test_quality_shards(spark, monkeypatch):
+    """With many blocks, each asks once for each of its n-grams of a model however its rows are spread, and the results are those of the broadcast way."""
+    texts = [f"the cat {i % 7} sat on the mat {i % 5}" for i in range(60)]
+    part = lambda rows, block: pa.RecordBatch.from_arrays([pa.array([block] * len(rows)), pa.array([i % 3 - 1 for i in rows], pa.int16()), pa.array([texts[i] for i in rows])], names=["_block", "_code", "text"])
+    asked = list(quality._ask(iter([part(range(20), 0), part(range(20, 40), 0), part(range(60), 1)]), "text", 5))
+    got = [(block, code, g) for b in asked for block, code, g in zip(*(b.column(c).to_pylist() for c in ("block", "code", "g")), strict=True)]
+    want = {(block, i % 3 - 1, int(g)) for block, upto in ((0, 40), (1, 60)) for i in range(upto) if i % 3 for g in quality.grams(pa.array([texts[i]]))[0]}
+    assert len(got) == len(set(got)) and set(got) == want and len(asked) == 4
+
+    monkeypatch.setattr(quality, "BLOCK_BYTES", 200)
+    rows = [(i, t, "xx" if i % 11 == 0 else "en", "s") for i, t in enumerate(texts)] + [(100, None, "en", "s"), (101, "", None, "s"), (102, "le chat", None, "s")]
+    lab = spark.createDataFrame([(i, 1, 0) for i in range(0, 30)], "doc_id long, quality int, toxic int").where("doc_id % 11 <> 0")
+    one, many = ({r["doc_id"]: (r["perplexity"], r["threshold"], r["kept"]) for r in quality.classify(docs(spark, rows), lab, broadcast_grams=g).collect()} for g in (quality.BROADCAST_GRAMS, 0))
+    assert one.keys() == many.keys() and len(one) == len(rows)
+    assert all(a[2] == b[2] and a[:2] == (pytest.approx(b[0]), pytest.approx(b[1])) for a, b in ((one[i], many[i]) for i in one))
+
+
 # 3
 
 PAGE = """<body><header><h1>Site</h1></header><main><article><h1>T&eacute;l</h1><p>a <b>b</b>c&nbsp; d<p>second
