@@ -2,15 +2,17 @@
 
 Vectors are dealt to coarse cells around centres of a sample, and a query visits
 the cells whose centres have the largest inner products with it, as many as a
-brute-force search of the sample shows to be needed; where that is most of
-them, there is one cell. Vectors are coded by product quantisation with 16 codewords (four bits) for
+brute-force search of the sample shows to be needed, and then every other cell
+that its centre and radius allow to hold a vector as near as the k-th found;
+where most would be visited at first, there is one cell. So cells only save
+work, and no result depends on them. Vectors are coded by product quantisation with 16 codewords (four bits) for
 every two components. Codebooks and codes minimise the anisotropic loss, which
 penalises the part of the residual parallel to the vector more, since that is
 what changes the large inner products. A query turns each pair of codebooks
 into a table of partial scores; scanning the codes adds up table entries. The
 best of the scan are scored again exactly, and so is every further candidate
-whose scanned score lies within the scan's own error of the k-th exact one, so
-that neighbours the codes cannot tell apart are not lost.
+whose scanned score and the length of what its code leaves out allow an inner
+product as large as the k-th exact one, so that no neighbour is lost.
 """
 
 from __future__ import annotations
@@ -26,14 +28,14 @@ from pyspark.sql import functions as F
 from gridroll.llm.vectors import common_length, fit_sample, matrix, usable
 from gridroll.session import materialize, ship
 
-#: Components a codebook covers, candidates and queries that meet in one task, candidates always scored exactly, and the scan errors (root mean square) that the margin spans.
-WIDTH, CANDIDATES, QUERIES, DEPTH, MARGIN = 2, 8192, 4096, 120, 3.0
-#: Most coarse cells, vectors from which on there are any, queries of the sample that are searched by brute force, and the share of their neighbours that the visited cells have to hold.
+#: Components a codebook covers, candidates and queries that meet in one task, and candidates always scored exactly.
+WIDTH, CANDIDATES, QUERIES, DEPTH = 2, 8192, 4096, 120
+#: Most coarse cells, vectors from which on there are any, queries of the sample that are searched by brute force, and the share of their neighbours that the cells visited first have to hold.
 CELLS, CELLS_FROM, TRIALS, HELD = 256, 20_000, 300, 0.985
 
 
 class Cells:
-    """Coarse cells: a vector lies in that of the nearest centre, a query visits the ``visits`` of largest inner product."""
+    """Coarse cells: a vector lies in that of the nearest centre, a query first visits the ``visits`` of largest inner product."""
 
     def __init__(self, x: np.ndarray, n: int, k: int, rounds: int = 10, seed: int = 9):
         many = min(CELLS, int(n**0.5), len(x) // 32)
@@ -72,6 +74,14 @@ class Cells:
     def visited(self, q: np.ndarray) -> np.ndarray:
         return np.argsort(-(q @ self.centres.T), axis=1, kind="stable")[:, : self.visits]
 
+    def missed(self, q: np.ndarray, kth: np.ndarray, radius: np.ndarray) -> list[np.ndarray]:
+        """For each query the cells that were not visited and may hold an inner product of at least ``kth``; ``radius`` is the largest distance of a cell's vectors from its centre, -1 without any."""
+        long = np.linalg.norm(q, axis=1)[:, None]
+        ahead = q @ self.centres.T + long * radius + 1e-9 * long * (np.linalg.norm(self.centres, axis=1) + radius)
+        may = ~(ahead < kth[:, None]) & (radius >= 0)
+        np.put_along_axis(may, self.visited(q), False, axis=1)
+        return [np.flatnonzero(m).astype(np.int32) for m in may]
+
 
 class Quantiser:
     """Product quantiser with the anisotropic loss of threshold ``t``."""
@@ -130,6 +140,12 @@ class Quantiser:
             codes = np.pad(codes, ((0, 0), (0, 1)))
         return (codes[:, 0::2] * 16 + codes[:, 1::2]).astype(np.uint8)
 
+    def left_out(self, x: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The length of what each row's code leaves out, and of what it holds."""
+        parts = np.stack([codes >> 4, codes & 15], axis=2).reshape(len(codes), -1)[:, : self.parts]
+        held = self.books[np.arange(self.parts), parts].reshape(len(x), -1)
+        return np.linalg.norm(self._pad(x) - held, axis=1), np.linalg.norm(held, axis=1)
+
     def tables(self, q: np.ndarray) -> np.ndarray:
         """For each query and byte of a code, the partial scores of its 256 values."""
         t = np.einsum("qmw,mkw->qmk", self._pad(q).reshape(len(q), self.parts, WIDTH), self.books)
@@ -138,28 +154,35 @@ class Quantiser:
         return (t[:, 0::2, :, None] + t[:, 1::2, None, :]).reshape(len(q), -1, 256).astype(np.float32)
 
 
-def best_of_block(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, v: np.ndarray, codes: np.ndarray, quantiser: Quantiser, k: int, depth: int = DEPTH, margin: float = MARGIN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _products(v: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products, each summed in the same order whatever rows are beside it, so that equal vectors tie."""
+    return np.einsum("ij,j->i", v, q)
+
+
+def best_of_block(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, v: np.ndarray, codes: np.ndarray, quantiser: Quantiser, k: int, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, candidate, exact score): each query's k best of one block of candidates, which are sorted by id."""
     out_q, out_v, out_s = [], [], []
     columns = np.ascontiguousarray(codes.T)
+    rest, held = quantiser.left_out(v, codes)
+    # an inner product exceeds its scan by no more than this times the query's length: what the code leaves out, and the rounding of the scan in single precision
+    above = rest * (1 + 1e-9) + (quantiser.parts + 8) * 2.4e-7 * held
+    depth = max(depth, k + 2)
     for at in range(0, len(qid), 256):
         luts = quantiser.tables(q[at : at + 256])
         for i, lut in enumerate(luts, at):
             scan = lut[0][columns[0]]
             for m in range(1, len(columns)):
                 scan = scan + lut[m][columns[m]]
-            scan[vid == qid[i]] = -np.inf
+            other = vid != qid[i]
+            scan[~other] = -np.inf
             some = min(depth, len(scan))
             first = np.argpartition(-scan, some - 1)[:some]
-            first = first[np.isfinite(scan[first])]
-            exact = v[first] @ q[i]
+            first = first[other[first]]
+            exact = _products(v[first], q[i])
             if len(exact) > k:
                 kth = np.partition(exact, len(exact) - k)[len(exact) - k]
-                error = exact - scan[first]
-                reach = kth - error.mean() - margin * error.std()
-                more = np.flatnonzero(scan >= min(reach, scan[first].min()))
-                if len(more) > len(first):
-                    first, exact = more, v[more] @ q[i]
+                first = np.flatnonzero(other & ~(scan + above * np.linalg.norm(q[i]) < kth))
+                exact = _products(v[first], q[i])
             top = np.lexsort((vid[first], -exact))[:k]
             out_q.append(np.full(len(top), qid[i]))
             out_v.append(vid[first[top]])
@@ -178,7 +201,8 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 20, id_col: str = "v
     non-finite components take no part, nor do rows without an id. Of rows with
     the same id the smallest vector counts. The codebooks are fitted to a
     bounded sample (vectors.FIT_ROWS), every vector is coded. Queries meet
-    the candidates of the cells they visit in blocks of bounded size.
+    the candidates of the cells they visit in blocks of bounded size. The result
+    is that of comparing all, whatever the cells, blocks and codes are.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -195,22 +219,20 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 20, id_col: str = "v
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = matrix(b.column("v"), dim)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([c.tobytes() for c in quantiser.value.encode(x)], pa.binary()), pa.array(cells.value.of(x), pa.int32())], names=[*b.schema.names, "code", "cell"])
+            cell = cells.value.of(x)
+            away = np.linalg.norm(x - cells.value.centres[cell], axis=1)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([c.tobytes() for c in quantiser.value.encode(x)], pa.binary()), pa.array(cell, pa.int32()), pa.array(away)], names=[*b.schema.names, "code", "cell", "away"])
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             to = cells.value.visited(matrix(b.column("v"), dim)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.FixedSizeListArray.from_arrays(pa.array(to.ravel()), to.shape[1]).cast(pa.list_(pa.int32()))], names=[*b.schema.names, "cells"])
 
-    coded = materialize(base.mapInArrow(code, base.withColumn("code", F.lit(b"")).withColumn("cell", F.lit(0)).schema))
+    coded = materialize(base.mapInArrow(code, base.withColumn("code", F.lit(b"")).withColumn("cell", F.lit(0)).withColumn("away", F.lit(0.0)).schema))
     sent = materialize(asked.mapInArrow(visit, asked.withColumn("cells", F.array(F.lit(0))).schema)).select("vec_id", "v", F.explode("cells").alias("cell"))
-    # a cell of many vectors or queries is cut into blocks of about the same size; their numbers follow from the counts, a row a cell
-    held, wanted = ({r["cell"]: r["count"] for r in df.groupBy("cell").count().collect()} for df in (coded, sent))
-    plan = spark.createDataFrame([(c, -(-held[c] // CANDIDATES), -(-wanted[c] // QUERIES)) for c in held if c in wanted], "cell int, n_c int, n_q int")
+    sizes = {r["cell"]: r for r in coded.groupBy("cell").agg(F.count("*").alias("held"), F.max("away").alias("away")).collect()}  # a row a cell
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     block = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
-    c = coded.join(F.broadcast(plan), "cell").withColumn("cb", block("n_c")).withColumn("qb", every("n_q")).drop("n_c", "n_q").groupBy("cell", "cb", "qb")
-    q = sent.join(F.broadcast(plan), "cell").withColumn("qb", block("n_q")).withColumn("cb", every("n_c")).drop("n_c", "n_q").groupBy("cell", "cb", "qb")
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
@@ -221,6 +243,28 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 20, id_col: str = "v
         got = best_of_block(left["vec_id"].to_numpy(), a, right["vec_id"].to_numpy(), b, codes, quantiser.value, k)
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), got, strict=True)))
 
-    found = q.cogroup(c).applyInPandas(meet, schema)
+    def met(sent: DataFrame) -> DataFrame:
+        # a cell of many vectors or queries is cut into blocks of about the same size; their numbers follow from the counts, a row a cell
+        wanted = {r["cell"]: r["count"] for r in sent.groupBy("cell").count().collect()}
+        plan = spark.createDataFrame([(c, -(-sizes[c]["held"] // CANDIDATES), -(-wanted[c] // QUERIES)) for c in sizes if c in wanted], "cell int, n_c int, n_q int")
+        c = coded.drop("away").join(F.broadcast(plan), "cell").withColumn("cb", block("n_c")).withColumn("qb", every("n_q")).drop("n_c", "n_q").groupBy("cell", "cb", "qb")
+        q = sent.join(F.broadcast(plan), "cell").withColumn("qb", block("n_q")).withColumn("cb", every("n_c")).drop("n_c", "n_q").groupBy("cell", "cb", "qb")
+        return q.cogroup(c).applyInPandas(meet, schema)
+
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    nearest = lambda found: found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = met(sent)
+    if cells.value.visits < len(cells.value.centres):
+        found = materialize(nearest(found).drop("rank"))
+        radius = np.array([sizes[c]["away"] * (1 + 1e-9) if c in sizes else -1.0 for c in range(len(cells.value.centres))])
+
+        def revisit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                to = cells.value.missed(matrix(b.column("v"), dim), b.column("kth").to_numpy(zero_copy_only=False), radius)
+                yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(to, pa.list_(pa.int32()))], names=["vec_id", "v", "cells"])
+
+        reached = found.groupBy(F.col("query_id").alias("vec_id")).agg(F.count("*").alias("n"), F.min("score").alias("least"))
+        kth = F.when(F.col("n") >= k, F.col("least")).otherwise(float("-inf")).alias("kth")
+        further = asked.join(reached, "vec_id", "left").select("vec_id", "v", kth).mapInArrow(revisit, asked.withColumn("cells", F.array(F.lit(0))).schema)
+        found = found.unionByName(met(materialize(further).select("vec_id", "v", F.explode("cells").alias("cell"))))
+    return nearest(found)

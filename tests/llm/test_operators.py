@@ -574,3 +574,24 @@ def test_ann_cells(spark, monkeypatch):
     assert (got.groupby("query_id").size() == 10).all() and set(got["query_id"]) == set(asked.tolist())
     assert sum(len(want[q] & set(g["vec_id"])) for q, g in got.groupby("query_id")) >= 0.95 * 10 * len(asked)
     assert np.allclose(got["score"], s[got["query_id"], got["vec_id"]], rtol=1e-12)
+
+
+def test_ann_sizes(spark, monkeypatch):
+    """The nearest are those of brute force, with cells and without, so that no size of the table changes them."""
+    monkeypatch.setattr("gridroll.llm.ann.CANDIDATES", 100)
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((40, 16))
+    x = (centres[rng.integers(0, 40, 2000)] + 0.3 * rng.standard_normal((2000, 16))).astype(np.float32)
+    x[:12] = 1.5 * rng.standard_normal((12, 16))  # some in no cluster
+    x[60:100] = x[60]  # more equal vectors than neighbours
+    base = _vectors(spark, [(i, v.tolist(), 0) for i, v in enumerate(x)])
+    y = x.astype(np.float64)
+    s = np.einsum("ij,kj->ik", y, y)
+    np.fill_diagonal(s, -np.inf)
+    want = {q: np.lexsort((np.arange(2000), -s[q]))[:10].tolist() for q in range(0, 2000, 20)}
+    for cells_from in (500, 20_000):
+        monkeypatch.setattr("gridroll.llm.ann.CELLS_FROM", cells_from)
+        cells = ann.Cells(y, len(y), 10)
+        assert (cells.visits < len(cells.centres)) == (cells_from == 500)
+        got = ann.search(base.where("vec_id % 20 = 0"), base, 10).toPandas().sort_values(["query_id", "rank"])
+        assert got.groupby("query_id")["vec_id"].agg(list).to_dict() == want
